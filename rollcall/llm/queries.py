@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, token_count
+from . import bpe, forest, minhash, packing, token_count, topk
 from .tokens import vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,10 +30,25 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
+def op7_columnar_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+def op8_odd_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+def op9_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.link(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
     "op4_tree_bpe": op4_tree_bpe,
     "op5_token_counts": op5_token_counts,
+    "op7_columnar_top_k": op7_columnar_top_k,
+    "op8_odd_sketch_minhash": op8_odd_sketch_minhash,
+    "op9_projection_forest": op9_projection_forest,
 }
 
 ORACLE_SQL: dict[str, str] = {}
