@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, forest, minhash, packing, token_count, topk
+from . import bpe, forest, minhash, packing, quality, token_count, topk, toxicity
+from .common import hash_split
 from .tokens import vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
+def op6_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(hash_split("doc_id", 5) != 0)
+    return quality.fit_and_score(documents, labels).select("doc_id", (hash_split("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_columnar_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
@@ -42,13 +49,21 @@ def op9_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.link(table(spark, sf_dir, "embeddings"))
 
 
+def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels").where(hash_split("doc_id", 4) != 2))
+    return toxicity.score(documents, model).select("doc_id", (hash_split("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
     "op4_tree_bpe": op4_tree_bpe,
     "op5_token_counts": op5_token_counts,
+    "op6_fourier_quality": op6_fourier_quality,
     "op7_columnar_top_k": op7_columnar_top_k,
     "op8_odd_sketch_minhash": op8_odd_sketch_minhash,
     "op9_projection_forest": op9_projection_forest,
+    "op10_compression_toxicity": op10_compression_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
