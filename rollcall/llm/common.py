@@ -70,6 +70,20 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
+def filtered(df: DataFrame, text_col: str, judge) -> DataFrame:
+    """The rows of ``df`` that a judge keeps, all columns as they were, in one narrow stage.
+
+    ``judge()`` is called once a task and returns a function from texts to a boolean array.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps = judge()
+        for batch in sliced(batches, 512):
+            yield batch.filter(pa.array(keeps(texts(batch, text_col)), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) with component the smallest id reachable over undirected ``edges`` (src, dst).
 

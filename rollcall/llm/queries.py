@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, forest, minhash, packing, quality, token_count, topk, toxicity
+from . import bpe, forest, langid, minhash, packing, quality, token_count, topk, toxicity, warc
 from .common import hash_split
 from .tokens import vocabulary_path
 
@@ -17,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op2_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    identifier = langid.fit(documents.where(hash_split("doc_id", 3) != 1))
+    return langid.identify(documents, identifier).select("doc_id", (hash_split("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
@@ -56,6 +66,8 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc_normaliser": op1_warc_normaliser,
+    "op2_kneser_ney_language": op2_kneser_ney_language,
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
     "op4_tree_bpe": op4_tree_bpe,
     "op5_token_counts": op5_token_counts,
@@ -66,4 +78,21 @@ QUERIES: dict[str, Query] = {
     "op10_compression_toxicity": op10_compression_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_normaliser": """
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, url, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+        SELECT page_id, url, payload_bytes, payload_digest,
+          CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM f""",
+    "op7_columnar_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+          WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}

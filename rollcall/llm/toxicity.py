@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import Isotonic
-from .common import BoundedCache, materialise, sliced, texts
+from .common import BoundedCache, filtered, materialise, sliced, texts
 
 #: Labelled rows of either class that are learned from, half for the dictionaries, half for calibration.
 ROWS_PER_CLASS = 6000
@@ -102,6 +102,11 @@ class Model:
     def __init__(self, toxic: bytes, ordinary: bytes, evidence: dict[tuple[int, int], float], calibrated: Isotonic):
         self.toxic, self.ordinary, self.evidence, self.calibrated = toxic, ordinary, evidence, calibrated
 
+    def scorer(self):
+        """A function from texts to their probabilities, with a task's memory of windows."""
+        distance = Distance(self.toxic, self.ordinary)
+        return lambda found: self.calibrated(np.array([strongest(distance.cells(t), self.evidence) for t in found]))
+
 
 def strongest(cells: set[tuple[int, int]], evidence: dict[tuple[int, int], float]) -> float:
     return max((evidence.get(c, 0.0) for c in cells), default=0.0)
@@ -159,10 +164,20 @@ def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     shared = df.sparkSession.sparkContext.broadcast(model)  # two dictionaries and a table of cells: under 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        distance = Distance(m.toxic, m.ordinary)
+        probability = shared.value.scorer()
         for batch in sliced(batches, 512):
-            p = m.calibrated(np.array([strongest(distance.cells(t), m.evidence) for t in texts(batch, text_col)]))
+            p = probability(texts(batch, text_col))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, score double, predicted int")
+
+
+def without_toxic(df: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``df``, with all their columns, whose score is below ``threshold``; see ``score``."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def judge():
+        probability = shared.value.scorer()
+        return lambda found: probability(found) < threshold
+
+    return filtered(df, text_col, judge)
