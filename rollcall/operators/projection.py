@@ -26,6 +26,10 @@ def validate(config: dict[str, Any]) -> list[str]:
     return issues
 
 
+def member(name: str):
+    return lambda x: x[name]
+
+
 def read_path(schema: T.StructType, path: str) -> tuple[Column, T.DataType] | None:
     """The expression of a.b, a[i], a[*] or a[*].b over a profile; None if the schema has no such path."""
     at: Column | None = None
@@ -36,7 +40,7 @@ def read_path(schema: T.StructType, path: str) -> tuple[Column, T.DataType] | No
         if not m or not isinstance(kind, T.StructType) or m[1] not in kind.names:
             return None
         name, index, kind = m[1], m[2], kind[m[1]].dataType
-        at = F.col(name) if at is None else (F.transform(at, lambda x, name=name: x[name]) if many else at[name])
+        at = F.col(name) if at is None else (F.transform(at, member(name)) if many else at[name])
         if index is None:
             continue
         if many or not isinstance(kind, T.ArrayType):
