@@ -11,6 +11,7 @@ from rollcall.operators import confidence, merge, projection, provenance, report
 from rollcall.operators.components import connected_components
 from rollcall.plans.pipeline import resolve_records
 from rollcall.schema import PROFILE, RECORD, ddl
+from rollcall.shared import materialise
 
 
 def records(spark, *rows):
@@ -90,9 +91,10 @@ def merged(spark):
         {"source_type": "resume_json", "full_name": "Dr. Robert K Smith", "emails": ["c@x.co"], "phones": ["9876543210"], "skills": ["kube", "Go"], "experience": [JOB("Co", "T", "Jan 2020"), JOB("CO", "t")]},
         {"source_type": "hr_system", "full_name": "Other"},
     )
-    c = resolve.cluster(r)
+    c = materialise(resolve.cluster(r))
     p, log = merge.merge(r, c)
-    return r, c, confidence.score_profiles(p, log).orderBy("cluster_id"), log
+    log = materialise(log)
+    return r, c, materialise(confidence.score_profiles(p, log)).orderBy("cluster_id"), log
 
 
 def test_merge(merged):
