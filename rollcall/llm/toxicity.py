@@ -2,9 +2,9 @@
 
 Windows are words (long runs cut to ``WINDOW`` bytes). One dictionary is trained on windows of toxic texts,
 drawn by how much commoner they are there than in ordinary ones, the other on windows of ordinary texts.
-A window's distance is how many bytes shorter the toxic dictionary makes it. Distances are calibrated by
-window length on labelled texts that trained neither dictionary: each (length, distance) cell gets the log
-ratio of toxic to ordinary texts that hold it. A text's evidence is its strongest cell, calibrated to a
+A window's distances are its lengths after compression with either. They are calibrated on labelled texts that
+trained neither dictionary: each cell of (window's length, ordinary length, toxic length) gets the log ratio of
+toxic to ordinary texts that hold it. A text's evidence is its strongest cell, calibrated to a
 probability by isotonic regression.
 """
 
@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from .calibration import Isotonic
 from .common import BoundedCache, filtered, materialise, sliced, texts
 
-#: Labelled rows of either class that are learned from, half for the dictionaries, half for calibration.
+#: Labelled rows of either class that are learned from, three quarters for the dictionaries, one for calibration.
 ROWS_PER_CLASS = 6000
 WINDOW = 48
-TOXIC_BYTES, ORDINARY_BYTES = 32 << 10, 256 << 10
 DRAWN_TOXIC, DRAWN_ORDINARY = 100_000, 200_000
+#: Sizes of the toxic and the ordinary dictionary, and seeds of their samples. Training leaves out some common
+#: windows by chance; the pair that tells the calibration rows apart best is taken.
+TRIALS = [(64 << 10, 384 << 10, 5), (96 << 10, 384 << 10, 6), (128 << 10, 448 << 10, 7)]
 #: Standard deviations above chance from which a window counts as commoner in toxic texts.
-CONTRAST = 4.0
+CONTRAST = 3.0
 #: Stands behind each window, and at the end of each dictionary: zstandard looks for no match in a block's
 #: last bytes, and stores short blocks as they are.
 ANCHOR = bytes(range(0x30, 0x5B))
@@ -43,19 +45,21 @@ def windows(text: str) -> set[bytes]:
     return set(find_windows(text.lower().encode()))
 
 
-def dictionary(samples: list[bytes], size: int, rng: random.Random) -> bytes:
-    """A trained dictionary; of too few samples to train on, their concatenation."""
-    rng.shuffle(samples)
+def dictionary(windows: list[tuple[bytes, int]], size: int, draws: int, rng: random.Random) -> bytes:
+    """A dictionary trained on windows drawn by their weights; of too few to train on, their concatenation."""
+    if not windows:
+        return b"\0" * 8
+    samples = [b" %s " % w for w in rng.choices([w for w, _ in windows], [n for _, n in windows], k=draws)]
     grouped = [b"".join(samples[i : i + 8]) for i in range(0, len(samples), 8)]
     try:
         return zstd.train_dictionary(size, grouped, k=16, d=6).as_bytes()
     except zstd.ZstdError:
-        return b"".join(grouped)[-size:] or b"\0" * 8
+        return b"".join(dict.fromkeys(samples))[-size:]
 
 
 def compressor(content: bytes) -> zstd.ZstdCompressor:
     parameters = zstd.ZstdCompressionParameters(
-        window_log=19, hash_log=14, chain_log=14, search_log=6, min_match=3, target_length=64, strategy=zstd.STRATEGY_BTOPT,
+        window_log=20, hash_log=14, chain_log=14, search_log=6, min_match=3, target_length=64, strategy=zstd.STRATEGY_BTOPT,
         write_content_size=False, write_checksum=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS,
     )
     data = zstd.ZstdCompressionDict(content + ANCHOR)
@@ -64,24 +68,24 @@ def compressor(content: bytes) -> zstd.ZstdCompressor:
 
 
 class Distance:
-    """Cells (window length, distance) of texts under two dictionaries."""
+    """Cells (window's length, its length by the ordinary dictionary, by the toxic one) of texts."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         t, o = compressor(toxic).compress, compressor(ordinary).compress
 
-        def cell(window: bytes) -> tuple[int, int]:
+        def cell(window: bytes) -> int:
             padded = b" %s %s" % (window, ANCHOR)
-            return len(window), len(o(padded)) - len(t(padded))
+            return len(window) << 16 | len(o(padded)) << 8 | len(t(padded))
 
         self.cell = BoundedCache(cell)
 
-    def cells(self, text: str) -> set[tuple[int, int]]:
+    def cells(self, text: str) -> set[int]:
         return set(map(self.cell.__getitem__, windows(text)))
 
 
-def train_dictionaries(counts: list[tuple[bytes, int, int]], n_toxic: int, n_ordinary: int) -> tuple[bytes, bytes]:
+def train_dictionaries(counts: list[tuple[bytes, int, int]], n_toxic: int, n_ordinary: int, toxic_bytes: int, ordinary_bytes: int, seed: int) -> tuple[bytes, bytes]:
     """From (window, toxic texts with it, ordinary texts with it)."""
-    rng = random.Random(5)
+    rng = random.Random(seed)
     share = n_toxic / max(1, n_ordinary)
     telling = []
     for window, t, o in counts:
@@ -89,17 +93,11 @@ def train_dictionaries(counts: list[tuple[bytes, int, int]], n_toxic: int, n_ord
         if t and (t - expected) / math.sqrt(expected + 1) >= CONTRAST:
             telling.append((window, t))
 
-    def drawn(pairs: list[tuple[bytes, int]], n: int) -> list[bytes]:
-        if not pairs:
-            return []
-        return [b" %s " % w for w in rng.choices([w for w, _ in pairs], [c for _, c in pairs], k=n)]
-
-    ordinary = drawn([(w, o) for w, _, o in counts if o], DRAWN_ORDINARY)
-    return dictionary(drawn(telling, DRAWN_TOXIC), TOXIC_BYTES, rng), dictionary(ordinary, ORDINARY_BYTES, rng)
+    return dictionary(telling, toxic_bytes, DRAWN_TOXIC, rng), dictionary([(w, o) for w, _, o in counts if o], ordinary_bytes, DRAWN_ORDINARY, rng)
 
 
 class Model:
-    def __init__(self, toxic: bytes, ordinary: bytes, evidence: dict[tuple[int, int], float], calibrated: Isotonic):
+    def __init__(self, toxic: bytes, ordinary: bytes, evidence: dict[int, float], calibrated: Isotonic):
         self.toxic, self.ordinary, self.evidence, self.calibrated = toxic, ordinary, evidence, calibrated
 
     def scorer(self):
@@ -108,7 +106,7 @@ class Model:
         return lambda found: self.calibrated(np.array([strongest(distance.cells(t), self.evidence) for t in found]))
 
 
-def strongest(cells: set[tuple[int, int]], evidence: dict[tuple[int, int], float]) -> float:
+def strongest(cells: set[int], evidence: dict[int, float]) -> float:
     return max((evidence.get(c, 0.0) for c in cells), default=0.0)
 
 
@@ -118,7 +116,7 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
     totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     share = {y: min(1.0, ROWS_PER_CLASS / max(1, totals.get(y, 0))) for y in (0, 1)}
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000)) / 1e6
-    sample = known.where(place < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).withColumn("fits", F.pmod(F.xxhash64(F.col(id_col), F.lit(29)), F.lit(2)) == 0)
+    sample = known.where(place < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).withColumn("fits", F.pmod(F.xxhash64(F.col(id_col), F.lit(29)), F.lit(4)) > 0)
     # of bounded size: about 2 * ROWS_PER_CLASS ids
     chosen = materialise(df.select(id_col, text_col).join(F.broadcast(sample), id_col).select("y", "fits", F.col(text_col).alias("text")))
     sizes = {(r["y"], r["fits"]): r["count"] for r in chosen.groupBy("y", "fits").count().collect()}
@@ -132,25 +130,36 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *(pa.array([seen[y][w] for w in found], pa.int64()) for y in (1, 0))], names=["w", "t", "o"])
 
     counts = chosen.where("fits").select("y", "text").mapInArrow(listed, "w binary, t long, o long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).orderBy("w").toArrow()
-    toxic, ordinary = train_dictionaries(list(zip(*(counts.column(i).to_pylist() for i in range(3)), strict=True)), sizes.get((1, True), 0), sizes.get((0, True), 0))
+    rows = list(zip(*(counts.column(i).to_pylist() for i in range(3)), strict=True))
+    prior = totals.get(1, 0) / max(1, sum(totals.values()))
+    rest = chosen.where("not fits").select("y", "text")
+    trials = []
+    for toxic_bytes, ordinary_bytes, seed in TRIALS:
+        pair = train_dictionaries(rows, sizes.get((1, True), 0), sizes.get((0, True), 0), toxic_bytes, ordinary_bytes, seed)
+        trials.append(calibrated(rest, *pair, share, prior))
+    return min(trials, key=lambda t: t[0])[1]
+
+
+def calibrated(rest: DataFrame, toxic: bytes, ordinary: bytes, share: dict[int, float], prior: float) -> tuple[float, Model]:
+    """(squared error on the rows ``rest`` (y, text), the model of these dictionaries)."""
 
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance(toxic, ordinary)
         for batch in sliced(batches, 512):
-            cells = [sorted(distance.cells(t)) for t in texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[1000 * n + d for n, d in c] for c in cells], pa.list_(pa.int32()))], names=["y", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(distance.cells(t)) for t in texts(batch, "text")], pa.list_(pa.int32()))], names=["y", "cells"])
 
-    rest = chosen.where("not fits").select("y", "text").mapInArrow(celled, "y int, cells array<int>").toArrow()
-    labels_, cells = np.array(rest.column(0).to_pylist(), int), [{((c + 500) // 1000, (c + 500) % 1000 - 500) for c in row} for row in rest.column(1).to_pylist()]
+    found = rest.mapInArrow(celled, "y int, cells array<int>").toArrow()
+    y, cells = np.array(found.column(0).to_pylist(), int), [set(row) for row in found.column(1).to_pylist()]
     hits = [Counter(), Counter()]
-    for y, c in zip(labels_, cells, strict=True):
-        hits[y].update(c)
-    n1, n0 = int((labels_ == 1).sum()), int((labels_ == 0).sum())
-    evidence = {c: math.log((hits[1][c] + 0.3) / (n1 + 0.6)) - math.log((hits[0][c] + 0.3) / (n0 + 0.6)) for c in hits[0] | hits[1]}
+    for kind, c in zip(y, cells, strict=True):
+        hits[kind].update(c)
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    evidence = {c: math.log((hits[1][c] + 1) / (n1 + 2)) - math.log((hits[0][c] + 1) / (n0 + 2)) for c in hits[0] | hits[1]}
     scores = np.array([strongest(c, evidence) for c in cells])
-    weights = np.where(labels_ == 1, 1 / share[1], 1 / share[0])
-    prior = totals.get(1, 0) / max(1, sum(totals.values()))
-    return Model(toxic, ordinary, evidence, Isotonic(scores, labels_, weights, default=prior))
+    weights = np.where(y == 1, 1 / share[1], 1 / share[0])
+    fitted = Isotonic(scores, y, weights, default=prior)
+    error = float((weights * (fitted(scores) - y) ** 2).sum()) if len(y) else 0.0
+    return error, Model(toxic, ordinary, evidence, fitted)
 
 
 def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
