@@ -31,7 +31,7 @@ def folder(tmp_path):
 def test_command_line(spark, folder):
     out = str(folder / "out")
     assert cli.main(["--inputs", str(folder / "in"), "--output", out, "--report", str(folder / "r.json"), "--report-text", str(folder / "r.txt")]) == 0
-    assert sorted(os.listdir(out)) == ["ann_lee.json", "ann_lee_report.json", "ann_lee_report.txt", "bo_o_hara.json", "bo_o_hara_report.json", "bo_o_hara_report.txt"]
+    assert sorted(os.listdir(out)) == ["ann_lee.json", "ann_lee_report.json", "ann_lee_report.txt", "bo_ohara.json", "bo_ohara_report.json", "bo_ohara_report.txt"]
     assert json.load(open(f"{out}/ann_lee.json"))["emails"] == ["ann@x.co"]
     assert json.load(open(folder / "r.json"))["summary"] == {"total_profiles": 2, "clusters_with_merges": 1}
     assert "Matching emails: ann@x.co" in (folder / "r.txt").read_text()
