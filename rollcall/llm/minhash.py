@@ -7,9 +7,9 @@ sets. Equal sets form classes at once. Rows that share a band key are candidates
 what is left is confirmed on the full sets, exactly.
 
 Only what decides components is compared: first every member of a band bucket with the bucket's smallest
-id, then, where a bucket still holds several components, the members outside its largest one with those of
-other components. So a group of m near copies costs about m comparisons, not m^2, and no link between
-components goes uncompared.
+id; then, for a few rounds, with a member outside that one's component; then, where a bucket still holds several
+components, the sketches of members of different ones. So a group
+of m near copies costs about m confirmations, not m^2, and no link between components goes uncompared.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .common import BoundedCache, connected_components, materialise, raw_texts,
 BANDS, BAND_ROWS = 24, 5  # a pair of similarity 0.8 shares no band with a probability below 1e-4
 SAMPLES = BANDS * BAND_ROWS
 SKETCH_WORDS = 8  # 64 bits each
+PIVOT_ROUNDS = 3  # further members that a bucket's other components are compared with before all that is left
+BLOCK = 2048  # rows of a bucket that are compared at once; larger buckets are compared block by block
 
 # Odd multipliers of the 64-bit mixing steps (golden ratio and two of SplitMix64's).
 MIX, MIX_A, MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -89,7 +91,7 @@ class Sampler:
         return np.packbits(odd).view(np.int64)
 
 
-def most_odd_bits(least: float, deviations: float = 5.0) -> int:
+def most_odd_bits(least: float, deviations: float = 3.5) -> int:
     """Odd bits up to which a pair of similarity ``least`` stays, with that many standard deviations to spare."""
     differing = SAMPLES * (1 - least)
     differing += deviations * (SAMPLES * least * (1 - least)) ** 0.5
@@ -139,6 +141,56 @@ def shingle_sets(df: DataFrame, width: int, id_col: str, text_col: str) -> DataF
     return df.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, shingles array<long>")
 
 
+def similar_within(dealt: DataFrame, most: int) -> DataFrame:
+    """(src, dst) of rows of one (key, i, j) and different components whose sketches differ in at most ``most`` bits.
+
+    Rows of two blocks meet across them only. Tasks stream their groups in order, one at a time.
+    """
+
+    def pairs(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        own, ids, c = (np.asarray(group.column(k)) for k in (3, 4, 5))
+        bits = np.stack([np.asarray(group.column(6 + k)).view(np.uint64) for k in range(SKETCH_WORDS)], axis=1)
+        across = group.column(1)[0].as_py() != group.column(2)[0].as_py()
+        a_out, b_out = [], []
+        for at in range(0, len(ids), 256):
+            part = slice(at, at + 256)
+            wanted = (c[part, None] != c[None, :]) & (ids[part, None] < ids[None, :])
+            if across:
+                wanted &= own[part, None] != own[None, :]
+            a, b = np.nonzero(wanted)
+            near = np.bitwise_count(bits[a + at] ^ bits[b]).sum(axis=1, dtype=np.int64) <= most
+            a_out.append(ids[a[near] + at])
+            b_out.append(ids[b[near]])
+        return np.concatenate(a_out), np.concatenate(b_out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            group = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            if group.num_rows > 1:
+                a, b = pairs(group)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tags = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((tags[1:] != tags[:-1]).any(axis=1)) + 1).tolist(), len(tags)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and last != tuple(tags[a]):
+                    yield from flushed()
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = tuple(tags[a])
+        if held:
+            yield from flushed()
+
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "src long, dst long")
+
+
 def near_duplicates(df: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``df``.
 
@@ -180,18 +232,24 @@ def near_duplicates(df: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     ids = reps.select("id")
     component = materialise(connected_components(edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))), edges))
 
-    labelled = buckets.select("key", "id").join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed_keys = labelled.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("largest"), F.count("*").alias("cs")).where("cs > 1").drop("cs")
-    open_members = materialise(labelled.join(mixed_keys, "key"))
-    outside = open_members.where("c <> largest").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
-    more = (
-        outside.join(open_members, "key")
-        .where("cx <> c")
-        .select(F.least("x", "id").alias("src"), F.greatest("x", "id").alias("dst"))
-        .distinct()
-        .join(first, ["src", "dst"], "left_anti")
-    )
-    later = confirmed(materialise(weeded(more)))
+    for turn in range(PIVOT_ROUNDS):
+        labelled = buckets.join(component, "id", "left").select("key", "pivot", "id", F.coalesce("component", "id").alias("c"))
+        led = labelled.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(F.when(F.col("id") == F.col("pivot"), F.col("c"))).alias("pc")).where("m > 2 and c0 <> c1").select("key", "pc")
+        outside = labelled.join(led, "key").where("c <> pc")
+        turned = outside.groupBy("key").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(turn))).alias("p")).select("key", F.col("p.id").alias("x"), F.col("p.c").alias("cx"))
+        pairs = labelled.join(turned, "key").where("c <> cx").select(F.col("x").alias("src"), F.col("id").alias("dst")).distinct()
+        edges = materialise(edges.union(confirmed(materialise(weeded(pairs)))))
+        component = materialise(connected_components(edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))), edges))
+
+    labelled = buckets.join(component, "id", "left").select("key", "pivot", "id", F.coalesce("component", "id").alias("c"))
+    # with the pivot compared, a bucket of two is done; so is one of a single component
+    left = labelled.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("m > 2 and c0 <> c1")
+    blocks = left.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    sketched = sig.where("n > 0").select("id", *sketch).dropDuplicates(["id"])
+    members = labelled.where("id <> pivot").join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = members.join(sketched, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c", *sketch)
+    later = confirmed(materialise(similar_within(dealt, most_odd_bits(percent / 100)).distinct()))
     edges = edges.union(later)
     component = connected_components(ids, edges)
 
