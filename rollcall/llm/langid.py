@@ -26,6 +26,8 @@ NGRAMS = 200_000  # of an order and language: the commonest; what others had goe
 WORD = 40  # longer runs of letters are cut into words of this length
 START, END = 1, 2
 UNKNOWN = "und"
+CHANCE = 4.0  # deviations by which chance may lift a text's entropy
+COMMON, MARGIN, LEAST = 0.99, 2.0, 1.0  # quantile of the calibration rows' excess beyond chance; the limit in its multiples; bits a symbol at least
 
 # Odd multipliers of the 64-bit mixing steps (golden ratio and one of SplitMix64's).
 MIX, MIX_A = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -127,7 +129,7 @@ class Identifier:
     def __init__(self, languages: list[str], models: list[LanguageModel]):
         self.languages, self.models = languages, models
         self.sharpness = 1.0
-        self.usual = np.zeros((len(languages), 3))  # mean and deviation of a symbol's cross-entropy, largest deviation allowed
+        self.usual = np.zeros((len(languages), 3))  # usual bits a symbol; variance allowed of the text's mean: by chance, divided by its length; of texts
 
     def score_words(self, words: list[str]) -> np.ndarray:
         """Summed log2 probabilities by language, the last column the number of symbols."""
@@ -174,9 +176,9 @@ def decide(identifier: Identifier, sums: np.ndarray) -> tuple[np.ndarray, np.nda
     logits = identifier.sharpness * sums[:, :-1] / np.sqrt(n)[:, None]
     best = logits.argmax(axis=1)
     p = 1 / np.exp(logits - logits.max(axis=1, keepdims=True)).sum(axis=1)
-    mean, deviation, most = identifier.usual[best].T
+    usual, chance, between = identifier.usual[best].T
     entropy = -sums[np.arange(len(sums)), best] / n
-    strange = (entropy - mean) * np.sqrt(n) > most * deviation
+    strange = entropy - usual > np.sqrt(between + chance / n)
     none = sums[:, -1] == 0
     return np.where(none, -1, best), np.where(none, 0.0, p), strange | none
 
@@ -238,12 +240,14 @@ def _calibrate(identifier: Identifier, chosen: DataFrame) -> None:
         mine = truth == i
         entropy = -sums[mine, i] / n[mine]
         if len(entropy) < 8:
-            identifier.usual[i] = 0, 1, np.inf
+            identifier.usual[i] = 0, 0, np.inf  # too few to tell: nothing is rejected
             continue
-        mean = np.average(entropy, weights=n[mine])
-        z = (entropy - mean) * np.sqrt(n[mine])
-        # texts differ by more than chance: twice the farthest of what was seen
-        identifier.usual[i] = mean, max(z.std(), 1e-6), 2 * max(4.0, z.max() / max(z.std(), 1e-6))
+        usual = np.median(entropy)
+        excess = entropy - usual
+        chance = (CHANCE * 1.4826 * np.median(np.abs(excess) * np.sqrt(n[mine]))) ** 2  # from the median deviation
+        # texts differ by more than chance, whatever their length; a quantile, so that no single odd text sets the limit
+        between = np.quantile(np.maximum(0, np.maximum(0, excess) ** 2 - chance / n[mine]), COMMON)
+        identifier.usual[i] = usual, chance, max(LEAST, MARGIN * between**0.5) ** 2
 
 
 def identify(df: DataFrame, identifier: Identifier, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,7 +255,8 @@ def identify(df: DataFrame, identifier: Identifier, *, id_col: str = "doc_id", t
 
     ``lang_pred`` is a learned language, or ``und`` with score 0 for texts that are null or hold no letter
     (and for all, if no language was learned). Ties go to the alphabetically first language. ``rejected``
-    also marks texts whose cross-entropy is far beyond what their best language's texts have. Null ids and
+    also marks texts whose cross-entropy is far beyond what their best language's texts of such a length have,
+    if at least 8 of these were there to calibrate. Null ids and
     repeated rows pass through, one row each; other columns are not read; an empty table gives an empty result.
     """
     id_type = df.schema[id_col].dataType.simpleString()

@@ -37,6 +37,35 @@ def test_language_of_odd_rows(spark):
     assert {r.lang_pred for r in langid.identify(odd(spark), nothing).collect()} == {"und"}
 
 
+STRANGE = [
+    "Il governo ha annunciato ieri che la nuova legge sulla scuola entrerà in vigore il prossimo anno, dopo una lunga discussione in parlamento. ",
+    "Wczoraj rząd ogłosił, że nowa ustawa o szkolnictwie wejdzie w życie w przyszłym roku po długiej dyskusji w sejmie. ",
+    "Hallitus ilmoitti eilen, että uusi koululaki tulee voimaan ensi vuonna pitkän keskustelun jälkeen eduskunnassa. ",
+    "Правительство объявило вчера, что новый закон о школе вступит в силу в следующем году после долгого обсуждения. ",
+]
+
+
+def test_strange_languages_are_rejected_at_any_length(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    identifier = langid.fit(documents)
+    scorer = langid.Scorer(identifier)
+    for letters in (50, 200, 1000, 20000):
+        assert langid.decide(identifier, scorer.sums([(t * 200)[:letters] for t in STRANGE]))[2].all(), letters
+    clean = [r.text for r in documents.where("text rlike '[a-z]' and doc_id % 10 = 0").select("text").collect()]
+    for letters in (50, 200, 1000, 20000):
+        assert langid.decide(identifier, scorer.sums([t[:letters] for t in clean]))[2].mean() < 0.005, letters
+
+
+def test_one_odd_text_does_not_set_the_rejection_limit(spark):
+    identifier = langid.fit(spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'"))
+    rows = [(i, "the house and the garden of the old mill " * (1 + i % 7), "en") for i in range(400)]
+    odd_one = [(1000 + i, "zxqj vkw qqzx jjvk " * 2000, "en") for i in range(2)]
+    for extra in ([], odd_one):
+        identifier.languages, chosen = ["en"], spark.createDataFrame([(r[2], r[1], False) for r in rows + extra], "lang string, text string, fits boolean")
+        langid._calibrate(identifier, chosen)
+        assert langid.decide(identifier, langid.Scorer(identifier).sums([t[:200] for t in STRANGE]))[2].all()
+
+
 def test_language_models_are_distributions():
     words = ["abab", "abc", "cab", "bca", "aab"]
     m = langid.LanguageModel(words, np.array([5, 3, 2, 2, 1]))
