@@ -12,7 +12,8 @@ from pyspark.sql import SparkSession
 from .config import Config, read_json
 from .plans.pipeline import run
 from .sinks import write_candidates, write_report_json, write_report_text
-from .sources.discover import is_url
+from .sources.discover import discover, is_url
+from .sources.remote import http
 
 log = logging.getLogger("rollcall")
 
@@ -45,7 +46,10 @@ def main(argv: list[str] | None = None) -> int:
         log.warning("the settings can't be read, defaults are used: %s", args.pipeline_config)
     spark = SparkSession.builder.appName("rollcall").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        result = run(spark, args.inputs, Config.load(args.pipeline_config), output)
+        result = run(spark, args.inputs, Config.load(args.pipeline_config), output, http)
+        sources, read = discover(spark, args.inputs), result.records.select("source_path").distinct()
+        for r in sources.join(read, sources.path == read.source_path, "left_anti").orderBy("seq").toLocalIterator():
+            log.warning("no records from %s", r["path"])
         folder = os.path.join(os.path.dirname(args.output), "output") if args.output.endswith(".json") else args.output
         write_candidates(result, folder, text=bool(args.report_text))
         if args.report:

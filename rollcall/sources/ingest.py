@@ -12,6 +12,7 @@ from ..functions.tables import read_taxonomy, skill_aliases
 from ..functions.text import strip_html
 from ..functions.urls import github_username
 from ..schema import RECORD, conform, ddl
+from ..shared import materialise
 from . import csv_records, remote, text_records
 from .discover import discover, source_type
 from .json_records import PROJECTIONS
@@ -80,7 +81,8 @@ def ingest(spark: SparkSession, paths: list[str], config: Config | None = None,
         parts.append(numbered(texts, text_records.from_resume_text(F.col("text"), keywords), F.lit(0), F.lit("pdf"), F.col("path"), F.col("seq")))
     if transport is not None and any(not is_file for _, is_file in kinds):
         urls = sources.where("not is_file and source_type is not null").withColumn("user", github_username(F.col("path"))).repartition(max(1, min(64, len(listed))))
-        fetched = remote.fetch(urls, transport, repos=config.max_github_repos, timeout=config.request_timeout_seconds)
+        # each kind reads it, and every URL is asked once
+        fetched = materialise(remote.fetch(urls, transport, repos=config.max_github_repos, timeout=config.request_timeout_seconds))
         parts.append(json_records(fetched.where("source_type <> 'portfolio_web'")))
         pages = fetched.where("source_type = 'portfolio_web'").withColumn("text", strip_html(F.col("document")))
         parts.append(numbered(pages, text_records.from_portfolio_text(F.col("text"), F.col("path"), keywords), F.lit(0), F.lit("portfolio_web"), F.col("path"), F.col("seq")))

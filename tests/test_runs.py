@@ -37,6 +37,25 @@ def test_command_line(spark, folder):
     assert "Matching emails: ann@x.co" in (folder / "r.txt").read_text()
 
 
+def test_command_line_fetches_urls_and_names_sources_without_records(spark, folder, monkeypatch, caplog):
+    asked = str(folder / "asked")
+
+    def answer(method, url, headers, body, timeout):
+        with open(asked, "a") as f:
+            f.write(url + "\n")
+        return (200, '{"name": "Cy Doe", "login": "cydoe"}' if "/repos" not in url else "[]") if url.startswith("https://api.github.com/users/cydoe") else (404, "")
+
+    monkeypatch.setattr(cli, "http", answer)
+    (folder / "in" / "d_resume.json").write_text("{broken")
+    (folder / "in" / "notes.txt").write_text("nothing reads this")
+    out = str(folder / "out")
+    assert cli.main(["--inputs", str(folder / "in"), "https://github.com/cydoe", "https://nobody.example", "--output", out]) == 0
+    assert "cy_doe.json" in os.listdir(out)
+    assert len(open(asked).readlines()) == 3  # profile, repositories, page
+    silent = [r.getMessage().rsplit("/", 1)[-1] for r in caplog.records if r.getMessage().startswith("no records from")]
+    assert silent == ["d_resume.json", "notes.txt", "nobody.example"]
+
+
 def test_command_line_refuses_missing_input():
     assert cli.main(["--inputs", "/no/such/path"]) == 1
 
