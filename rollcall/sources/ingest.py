@@ -18,23 +18,23 @@ from .discover import discover, source_type
 from .json_records import PROJECTIONS
 
 
-def numbered(rows: DataFrame, record: Column, place: Column, source: Column, path: Column, first: Column) -> DataFrame:
-    """Records with ids, made of path and place, and ``seq``: the source's number above 2^40, the place below."""
+def numbered(rows: DataFrame, record: Column, place: Column, source: Column, path: Column, first: Column, place_bits: int = 40) -> DataFrame:
+    """Records with ids, made of path and place, and ``seq``: the source's number above 2^place_bits, the place below."""
     out = rows.select(record.alias("r"), place.cast("bigint").alias("place"), source.alias("source_type"), path.alias("source_path"), first.cast("bigint").alias("first"))
     out = out.select(
         F.substring(F.sha2(F.concat_ws("|", "source_path", F.col("place").cast("string")), 256), 1, 32).alias("record_id"),
-        (F.shiftleft("first", 40) + F.col("place")).alias("seq"), "source_type", "source_path", "r.*",
+        (F.shiftleft("first", place_bits) + F.col("place")).alias("seq"), "source_type", "source_path", "r.*",
     )
     return conform(out, RECORD)
 
 
-def json_records(documents: DataFrame) -> DataFrame:
+def json_records(documents: DataFrame, place_bits: int = 40) -> DataFrame:
     """Records of JSON documents (seq, path, source_type, document). Broken JSON gives none."""
     parsed = documents.withColumn("v", F.try_parse_json("document"))
     parts = []
     for kind, (members, project) in PROJECTIONS.items():
         own = parsed.where(F.col("source_type") == kind).select("seq", "path", "source_type", F.posexplode(members(F.col("v"))).alias("place", "m"))
-        parts.append(numbered(own, project(F.col("m")), F.col("place"), F.col("source_type"), F.col("path"), F.col("seq")))
+        parts.append(numbered(own, project(F.col("m")), F.col("place"), F.col("source_type"), F.col("path"), F.col("seq"), place_bits))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -10,7 +10,7 @@ import __spark_entry__ as entry_points
 from rollcall import cli
 from rollcall.plans import queries as plans
 from rollcall.sinks import write_table
-from rollcall.streaming.ingest import stream_records
+from rollcall.streaming.ingest import number_files, stream_records
 
 DATA = "/root/testdata/sf0.001"
 PEOPLE = [
@@ -66,6 +66,24 @@ def test_streaming(spark, folder):
     assert {r.full_name for r in spark.read.parquet(str(folder / "table")).collect()} == {"Ann Lee", "Bo O'Hara"}
 
 
+def test_streaming_numbers_files_by_batch_then_path(spark, folder):
+    table, order = str(folder / "table"), []
+    for batch in ("z", "y"):
+        for i in range(30):
+            (folder / "in" / f"{batch}{i:02d}_resume.json").write_text(json.dumps({"name": f"{batch}{i}", "email": f"{batch}{i}@x.co"}))
+        stream_records(spark, str(folder / "in"), table, str(folder / "state")).awaitTermination(120)
+        order += [p for p in sorted(os.listdir(folder / "in")) if p not in order]
+    got = spark.read.parquet(table).orderBy("seq").select("source_path", "seq").collect()
+    assert [r.source_path.rsplit("/", 1)[-1] for r in got] == order and len({r.seq for r in got}) == len(order)
+
+
+def test_streaming_numbers_many_batches_and_files_apart(spark, tmp_path):
+    batches = {e: spark.range(1500).selectExpr(f"concat('{e}/', id) path") for e in (0, 16, 2000)}
+    seqs = [r.seq for e, b in batches.items() for r in number_files(b, str(tmp_path), e).collect()]
+    assert sorted(seqs) == list(range(4500))
+    assert sorted(r.seq for r in number_files(batches[16], str(tmp_path), 16).collect()) == list(range(1500, 3000))
+
+
 def test_write_table(spark, tmp_path):
     write_table(spark.range(4).withColumnRenamed("id", "x"), str(tmp_path / "t"), form="json")
     assert spark.read.json(str(tmp_path / "t")).count() == 4
