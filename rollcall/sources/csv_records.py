@@ -38,8 +38,9 @@ def column_index(header: list[str], columns: dict[str, list[str]] | None = None)
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a CSV file with a header, all columns as text, with ``_place`` in file order. A byte-order mark is dropped; broken UTF-8 is read as it can be."""
-    rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, mode="PERMISSIVE", escape='"')
+    """Rows of a CSV file with a header, all columns as text, with ``_place`` in file order. A byte-order mark is dropped; a file that is not UTF-8 is read as Latin-1."""
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
+    rows = spark.read.csv(path, encoding="ISO-8859-1" if broken else "UTF-8", header=True, inferSchema=False, multiLine=True, mode="PERMISSIVE", escape='"')
     return rows.withColumn("_place", F.monotonically_increasing_id())
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollcall.functions.text import strip_html
+from rollcall.sources import csv_records
 from rollcall.sources.discover import discover, source_type
 from rollcall.sources.ingest import ingest, rejected
 from rollcall.sources.json_records import PROJECTIONS
@@ -98,3 +99,11 @@ def test_portfolio(spark):
 def test_empty_documents(spark, kind):
     for r in project(spark, kind, {}):
         assert r["emails"] == [] and r["skills"] == [] and r["full_name"] is None
+
+
+def test_csv_that_is_not_utf8_is_read_as_latin1(spark, tmp_path):
+    text = "Name,City\nJosé Núñez,Málaga\nAnn Lee,Köln\n"
+    for encoding in ("utf-8", "utf-8-sig", "latin-1"):
+        (tmp_path / f"{encoding}.csv").write_bytes(text.encode(encoding))
+        rows = csv_records.read_rows(spark, str(tmp_path / f"{encoding}.csv")).orderBy("_place").collect()
+        assert [tuple(r)[:2] for r in rows] == [("José Núñez", "Málaga"), ("Ann Lee", "Köln")], encoding
