@@ -3,19 +3,20 @@
 One scan hashes each whole text's word shingles into a set, takes MinHash samples of it, keys for bands of
 samples, and the samples' odd sketch: a bitmap in which every (position, sample) pair flips one bit, so
 that the population count of two sketches' XOR tells how many samples differ, most precisely for similar
-sets. Equal sets form classes at once. Rows that share a band key are candidates; sketches weed them out;
-what is left is confirmed on the full sets, exactly.
-
-Only what decides components is compared: first every member of a band bucket with the bucket's smallest
-id; then, for a few rounds, with a member outside that one's component; then, where a bucket still holds several
-components, the sketches of members of different ones. So a group
-of m near copies costs about m confirmations, not m^2, and no link between components goes uncompared.
+sets. Equal sets form one class. Classes that share a band key lie in one bucket and are candidates;
+sketches weed them out; what is left is confirmed on the full sets, exactly.
+
+Each bucket is first compared with its hub, the member whose buckets are largest in sum: of a text and
+its near copies that is the text itself, so a group of m costs about m comparisons. Only where the rest
+of a bucket then lies in several components are its members compared with one another, in blocks, by
+sketch first; blocks hand on members and the edges of a spanning forest, never pairs, so no step makes
+more rows than there are members.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import BoundedCache, connected_components, materialise, raw_texts, sliced
 
-BANDS, BAND_ROWS = 24, 5  # a pair of similarity 0.8 shares no band with a probability below 1e-4
-SAMPLES = BANDS * BAND_ROWS
-SKETCH_WORDS = 8  # 64 bits each
-PIVOT_ROUNDS = 3  # further members that a bucket's other components are compared with before all that is left
-BLOCK = 2048  # rows of a bucket that are compared at once; larger buckets are compared block by block
+BANDS, BAND_ROWS = 52, 8  # a pair of similarity 0.8 shares no band with a probability below 1e-4
+SAMPLES = 1024  # in the sketch; the first BANDS * BAND_ROWS of them make the band keys
+SKETCH_WORDS = 32  # 64 bits each
+BLOCK = 2048  # members of a bucket that are compared at once; larger buckets are compared block by block
+BLOCK_SHINGLES = 1 << 21  # that the sets of a block have about, at most
+LEAVES = 4096  # members that are compared with one hub in one group of rows
 
 # Odd multipliers of the 64-bit mixing steps (golden ratio and two of SplitMix64's).
 MIX, MIX_A, MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -62,133 +64,303 @@ class Shingler:
         return np.unique(mixed(h))
 
 
+def digest(shingles: np.ndarray) -> np.ndarray:
+    """128 bits of a set, as two signed integers."""
+    return np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), np.int64)
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 * |a & b| >= percent * |a | b| for two sorted sets."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
 class Sampler:
     """MinHash samples, band keys and odd sketches of shingle sets."""
 
+    STEP = 256
+
     def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.a = rng.integers(0, 1 << 32, SAMPLES, np.uint32)[:, None] | np.uint32(1)
         self.b = rng.integers(0, 1 << 32, SAMPLES, np.uint32)[:, None]
         self.position = np.arange(SAMPLES, dtype=np.uint64) * MIX
+        self.held = np.empty((SAMPLES, self.STEP), np.uint32)
 
     def samples(self, shingles: np.ndarray) -> np.ndarray:
         x = (shingles >> np.uint64(32)).astype(np.uint32)[None, :]
         out = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-        for at in range(0, x.shape[1], 4096):
-            np.minimum(out, (self.a * x[:, at : at + 4096] + self.b).min(axis=1), out=out)
+        for at in range(0, x.shape[1], self.STEP):
+            part = x[:, at : at + self.STEP]
+            h = np.multiply(self.a, part, out=self.held[:, : part.shape[1]])
+            h += self.b
+            np.minimum(out, h.min(axis=1), out=out)
         return out
 
     def bands(self, samples: np.ndarray) -> np.ndarray:
-        s = samples.reshape(BANDS, BAND_ROWS).astype(np.uint64)
+        s = samples[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).astype(np.uint64)
         h = np.arange(1, BANDS + 1, dtype=np.uint64)
         for i in range(BAND_ROWS):
             h = mixed(h * MIX + s[:, i])
         return h.view(np.int64)
 
     def sketch(self, samples: np.ndarray) -> np.ndarray:
-        bit = (mixed(samples.astype(np.uint64) + self.position) >> np.uint64(55)).astype(np.int64)
-        odd = (np.bincount(bit, minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
+        bits = 64 * SKETCH_WORDS
+        bit = (mixed(samples.astype(np.uint64) + self.position) % np.uint64(bits)).astype(np.int64)
+        odd = (np.bincount(bit, minlength=bits) & 1).astype(np.uint8)
         return np.packbits(odd).view(np.int64)
 
 
-def most_odd_bits(least: float, deviations: float = 3.5) -> int:
-    """Odd bits up to which a pair of similarity ``least`` stays, with that many standard deviations to spare."""
-    differing = SAMPLES * (1 - least)
-    differing += deviations * (SAMPLES * least * (1 - least)) ** 0.5
-    bits = 64 * SKETCH_WORDS
-    odd = bits / 2 * (1 - (1 - 2 / bits) ** (2 * min(SAMPLES, differing)))
-    return int(odd + deviations * (odd / 2) ** 0.5)
+def most_odd_bits(least: float, deviations: float = 4.0) -> int:
+    """Odd bits up to which a pair of similarity ``least`` stays, with that many standard deviations to spare.
+
+    Two sources of chance add up: how many samples differ, and how their bits fall together.
+    """
+    b, flips = 64 * SKETCH_WORDS, 2 * SAMPLES * (1 - least)
+    slope = (1 - 2 / b) ** flips
+    by_samples = slope**2 * 4 * SAMPLES * least * (1 - least)
+    by_bits = b / 4 * (1 - slope**2) + b * (b - 1) / 4 * ((1 - 4 / b) ** flips - slope**2)
+    return int(b / 2 * (1 - slope) + deviations * (by_samples + max(0.0, by_bits)) ** 0.5)
 
 
 def signatures(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, h1, h2, bands, s0..s7): size, 128-bit digest, band keys and sketch of each row's set."""
+    """(id, t, n, h1, h2, bands, sketch): text's hash, and size, 128-bit digest, band keys and sketch of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sampler = Shingler(width), Sampler()
-        for batch in sliced(batches, 512):
-            n, digest, bands, sketch = [], [], [], []
+        for batch in sliced(batches, 256):
+            n, digests, bands, sketch = [], [], [], []
             for text in raw_texts(batch, text_col):
                 s = shingler.shingles(text)
                 n.append(len(s))
                 if len(s):
                     samples = sampler.samples(s)
-                    digest.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
+                    digests.append(digest(s))
                     bands.append(sampler.bands(samples))
                     sketch.append(sampler.sketch(samples))
                 else:
-                    digest.append(np.zeros(2, np.int64))
+                    digests.append(np.zeros(2, np.int64))
                     bands.append(np.zeros(0, np.int64))
-                    sketch.append(np.zeros(SKETCH_WORDS, np.int64))
-            digest, sketch = np.array(digest), np.array(sketch)
+                    sketch.append(np.zeros(0, np.int64))
+            h = np.array(digests)
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(bands, pa.list_(pa.int64())), *(pa.array(sketch[:, i]) for i in range(SKETCH_WORDS))],
-                names=["id", "n", "h1", "h2", "bands", *(f"s{i}" for i in range(SKETCH_WORDS))],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(bands, longs), pa.array(sketch, longs)],
+                names=["id", "t", "n", "h1", "h2", "bands", "sketch"],
             )
 
-    columns = ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
-    return df.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, f"id long, n long, h1 long, h2 long, bands array<long>, {columns}")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), text_col)
+    return rows.mapInArrow(run, "id long, t long, n long, h1 long, h2 long, bands array<long>, sketch array<long>")
 
 
-def shingle_sets(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, shingles) with the whole set."""
+def by_groups(rows: DataFrame, keys: list[str], order: list[str], each: Callable[[], Callable], schema: str) -> DataFrame:
+    """Rows dealt by ``keys`` and streamed in ``order``; ``each()`` makes a task's function over its batches."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(lambda batches: each()(batches), schema)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The groups of equal first ``keys`` columns in a sorted stream, one at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tags = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in range(keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((tags[1:] != tags[:-1]).any(axis=1)) + 1).tolist(), len(tags)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and last != tuple(tags[a]):
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = tuple(tags[a])
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
-        for batch in sliced(batches, 512):
-            sets = [shingler.shingles(t).view(np.int64) for t in raw_texts(batch, text_col)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, shingles array<long>")
+def numbers(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
+    return [np.asarray(batch.column(batch.schema.get_field_index(name))) for name in names]
 
 
-def similar_within(dealt: DataFrame, most: int) -> DataFrame:
-    """(src, dst) of rows of one (key, i, j) and different components whose sketches differ in at most ``most`` bits.
+def table_of(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
+    return np.asarray(batch.column(batch.schema.get_field_index(name)).flatten()).reshape(-1, width)
 
-    Rows of two blocks meet across them only. Tasks stream their groups in order, one at a time.
+
+def candidates(key: int, own: np.ndarray, c: np.ndarray, n: np.ndarray, across: bool, bands: np.ndarray, bits: np.ndarray, percent: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (positions a < b) of one group whose sketches leave a link possible.
+
+    Only members of different components meet; across two blocks only members of different ones; and only
+    in the first bucket that both share, so that a pair is looked at once.
     """
+    m = len(c)
+    step = max(1, (1 << 16) // m)
+    place = np.arange(m)
+    for at in range(0, m, step):
+        part = slice(at, at + step)
+        wanted = (c[part, None] != c[None, :]) & (place[part, None] < place[None, :])
+        wanted &= 100 * np.minimum(n[part, None], n[None, :]) >= percent * np.maximum(n[part, None], n[None, :])
+        if across:
+            wanted &= own[part, None] != own[None, :]
+        a, b = np.nonzero(wanted)
+        a += at
+        near = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= most
+        a, b = a[near], b[near]
+        if len(a):
+            shared = (bands[a] == bands[b]).argmax(axis=1)
+            first = bands[a, shared] == key
+            yield a[first], b[first]
+
+
+def survivors(dealt: DataFrame, percent: int) -> DataFrame:
+    """The rows of groups (key, i, j) that have a candidate there: (key, i, j, own, v, c)."""
+    most = most_odd_bits(percent / 100)
+
+    def each():
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in whole_groups(batches, 3):
+                if group.num_rows < 2:
+                    continue
+                key, i, j, own, c, n = numbers(group, ["key", "i", "j", "own", "c", "n"])
+                bits = table_of(group, "sketch", SKETCH_WORDS).view(np.uint64)
+                stays = np.zeros(len(c), bool)
+                for a, b in candidates(key[0], own, c, n, i[0] != j[0], table_of(group, "bands", BANDS), bits, percent, most):
+                    stays[a] = stays[b] = True
+                if stays.any():
+                    yield group.select(["key", "i", "j", "own", "v", "c"]).filter(pa.array(stays))
+
+        return run
+
+    return by_groups(dealt, ["key", "i", "j"], ["v"], each, "key long, i int, j int, own int, v long, c long")
+
+
+def spanning_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(src, dst): a spanning forest, over components, of the links inside each group (key, i, j), confirmed on full sets."""
+    most = most_odd_bits(percent / 100)
+
+    def each():
+        shingler, sampler = Shingler(width), Sampler()
 
-    def pairs(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        own, ids, c = (np.asarray(group.column(k)) for k in (3, 4, 5))
-        bits = np.stack([np.asarray(group.column(6 + k)).view(np.uint64) for k in range(SKETCH_WORDS)], axis=1)
-        across = group.column(1)[0].as_py() != group.column(2)[0].as_py()
-        a_out, b_out = [], []
-        for at in range(0, len(ids), 256):
-            part = slice(at, at + 256)
-            wanted = (c[part, None] != c[None, :]) & (ids[part, None] < ids[None, :])
-            if across:
-                wanted &= own[part, None] != own[None, :]
-            a, b = np.nonzero(wanted)
-            near = np.bitwise_count(bits[a + at] ^ bits[b]).sum(axis=1, dtype=np.int64) <= most
-            a_out.append(ids[a[near] + at])
-            b_out.append(ids[b[near]])
-        return np.concatenate(a_out), np.concatenate(b_out)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in whole_groups(batches, 3):
+                key, i, j, own, c, v, h1, h2 = numbers(group, ["key", "i", "j", "own", "c", "v", "h1", "h2"])
+                sets = [shingler.shingles(t) for t in raw_texts(group, "text")]
+                right = [k for k, s in enumerate(sets) if tuple(digest(s)) == (h1[k], h2[k])]
+                if len(right) < 2:
+                    continue
+                sets, own, c, v = [sets[k] for k in right], own[right], c[right], v[right]
+                samples = [sampler.samples(s) for s in sets]
+                bands, bits = np.array([sampler.bands(s) for s in samples]), np.array([sampler.sketch(s) for s in samples]).view(np.uint64)
+                parent = {x: x for x in c.tolist()}
+
+                def root(x: int, parent=parent) -> int:
+                    while parent[x] != x:
+                        parent[x] = x = parent[parent[x]]
+                    return x
+
+                src, dst = [], []
+                n = np.array([len(s) for s in sets])
+                for found in candidates(key[0], own, c, n, i[0] != j[0], bands, bits, percent, most):
+                    for a, b in zip(*(x.tolist() for x in found), strict=True):
+                        p, q = root(int(c[a])), root(int(c[b]))
+                        if p != q and linked(sets[a], sets[b], percent):
+                            parent[q] = p
+                            src.append(int(v[a]))
+                            dst.append(int(v[b]))
+                if src:
+                    yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+        return run
+
+    return by_groups(rows, ["key", "i", "j"], ["v"], each, "src long, dst long")
+
+
+def links_with_hubs(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(src, dst) of the rows (src, salt, role, v, h1, h2, text) that link with their hub, the row of role 0 of (src, salt)."""
+
+    def each():
+        shingler = Shingler(width)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            group = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            if group.num_rows > 1:
-                a, b = pairs(group)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
-
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            tags = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in range(3)], axis=1)
-            cuts = [0, *(np.flatnonzero((tags[1:] != tags[:-1]).any(axis=1)) + 1).tolist(), len(tags)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if held and last != tuple(tags[a]):
-                    yield from flushed()
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = tuple(tags[a])
-        if held:
-            yield from flushed()
-
-    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "src long, dst long")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at = hub = None
+            for batch in sliced(batches, 256):
+                src, dst = [], []
+                columns = [x.tolist() for x in numbers(batch, ["src", "salt", "role", "v", "h1", "h2"])]
+                for s, salt, role, v, h1, h2, text in zip(*columns, raw_texts(batch, "text"), strict=True):
+                    own = shingler.shingles(text)
+                    if tuple(digest(own)) != (h1, h2):
+                        continue  # another text under the same id
+                    if (s, salt) != at:
+                        at, hub = (s, salt), None
+                    if role == 0:
+                        hub = own
+                    elif hub is not None and linked(hub, own, percent):
+                        src.append(s)
+                        dst.append(v)
+                if src:
+                    yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+        return run
+
+    return by_groups(rows, ["src", "salt"], ["role"], each, "src long, dst long")
+
+
+def assigned(df: DataFrame, *, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, t, n, c, component_id) per row of ``df``: c names the component of rows that share a set or link, null for rows that do neither."""
+    sig = materialise(signatures(df, width, id_col, text_col))
+    grouped = sig.where("n > 0 and id is not null").groupBy("h1", "h2").agg(
+        F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+    )
+    # equal sets have equal bands and sketches; the number is fixed once the table is written
+    classes = materialise(grouped.withColumn("v", F.monotonically_increasing_id()))
+
+    keyed = classes.select("v", F.explode("bands").alias("key"))
+    buckets = materialise(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"))
+    crowd = buckets.groupBy("v").agg(F.sum("m").alias("crowd"))
+    hubs = buckets.join(crowd, "v").groupBy("key").agg(F.max(F.struct("crowd", -F.col("v"))).alias("top")).select("key", (-F.col("top.col2")).alias("hub"))
+    followers = materialise(buckets.join(hubs, "key").where("v <> hub").select("key", "hub", "v"))
+
+    pairs = followers.select(F.col("hub").alias("src"), F.col("v").alias("dst")).distinct()
+    ends = [classes.select(F.col("v").alias(end), F.col("n").alias(f"{end}_n"), F.col("sketch").alias(f"{end}_sketch")) for end in ("src", "dst")]
+    odd = F.aggregate(F.zip_with("src_sketch", "dst_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, x: total + x)
+    sizes_allow = 100 * F.least("src_n", "dst_n") >= percent * F.greatest("src_n", "dst_n")
+    weeded = materialise(pairs.join(ends[1], "dst").join(ends[0], "src").where(sizes_allow & (odd <= most_odd_bits(percent / 100))).select("src", "dst"))
+
+    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    named = classes.select("v", "rep", "h1", "h2")
+    salts = weeded.groupBy("src").agg(F.ceil(F.count("*") / LEAVES).cast("int").alias("salts"))
+    leaf = weeded.join(salts, "src").select("src", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("dst").alias("v"))
+    hub = salts.select("src", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("src").alias("v"))
+    parts = texts.join(leaf.union(hub).join(named, "v"), "rep").select("src", "salt", "role", "v", "h1", "h2", "text")
+    edges = materialise(links_with_hubs(parts, width, percent))
+
+    def components(edges: DataFrame) -> DataFrame:
+        return connected_components(edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))), edges)
+
+    component = materialise(components(edges))
+    vertices = classes.select("v", "n").join(component.select(F.col("id").alias("v"), "component"), "v", "left").select("v", "n", F.coalesce("component", "v").alias("c"))
+    labelled = materialise(followers.select("key", "v").join(vertices, "v"))
+    several = labelled.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+    several = several.select("key", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = labelled.join(several, "key").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.join(classes.select("v", "bands", "sketch"), "v")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "c", "n", "bands", "sketch")
+    staying = materialise(survivors(dealt, percent))
+    if not staying.isEmpty():
+        parts = texts.join(staying.join(named, "v"), "rep").select("key", "i", "j", "own", "c", "v", "h1", "h2", "text")
+        later = spanning_links(parts, width, percent)
+        edges = materialise(component.select(F.col("component").alias("src"), F.col("id").alias("dst")).union(later))
+        component = materialise(components(edges))
+
+    c = component.select(F.col("id").alias("v"), F.col("component").alias("c"))
+    names = classes.select("v", "rep").join(c, "v").groupBy("c").agg(F.min("rep").alias("name"))
+    known = classes.select("v", "h1", "h2", "rep", "copies").join(c.join(names, "c"), "v", "left").where("copies > 1 or c is not null")
+    known = known.select("h1", "h2", F.coalesce("c", "v").alias("c"), F.coalesce("name", "rep").alias("name"))
+    in_class = (F.col("n") > 0) & F.col("id").isNotNull()
+    rows = sig.select("id", "t", "n", F.when(in_class, F.col("h1")).alias("h1"), "h2").join(known, ["h1", "h2"], "left")
+    return rows.select("id", "t", "n", "c", F.coalesce("name", "id").alias("component_id"))
 
 
 def near_duplicates(df: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,67 +368,32 @@ def near_duplicates(df: DataFrame, *, width: int = 5, percent: int = 80, id_col:
 
     Rows link if 100 * |A & B| >= percent * |A | B| for their shingle sets; a component is what links
     reach, named by its smallest id; ``kept`` marks that row. Null, empty and blank texts have no shingles
-    and link with nothing. Repeated rows share their id's component. Rows with a null id link with nothing,
-    have no component and are kept. Other columns are not read. An empty table gives an empty result.
+    and link with nothing. Equal rows share a component. Rows of one id with different texts are judged
+    each by its own text. Rows with a null id link with nothing, have no component and are kept. Other
+    columns are not read. An empty table gives an empty result.
     """
-    sig = materialise(signatures(df, width, id_col, text_col))
-    sketch = [f"s{i}" for i in range(SKETCH_WORDS)]
-    classes = sig.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    reps = sig.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").where("n > 0").dropDuplicates(["id"])
-
-    keyed = reps.select("id", F.explode("bands").alias("key"))
-    pivots = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("m")).where("m > 1").drop("m")
-    buckets = materialise(keyed.join(pivots, "key"))
-
-    def weeded(pairs: DataFrame) -> DataFrame:
-        """Pairs (src, dst) whose sketches leave the similarity possible."""
-        a = sig.where("n > 0").select(F.col("id").alias("src"), *(F.col(s).alias(f"a_{s}") for s in sketch)).dropDuplicates(["src"])
-        b = sig.where("n > 0").select(F.col("id").alias("dst"), *(F.col(s).alias(f"b_{s}") for s in sketch)).dropDuplicates(["dst"])
-        odd = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in sketch), F.lit(0))
-        return pairs.join(b, "dst").join(a, "src").where(odd <= most_odd_bits(percent / 100)).select("src", "dst")
-
-    first = materialise(weeded(buckets.where("id <> pivot").select(F.col("pivot").alias("src"), F.col("id").alias("dst")).distinct()))
-    wanted = buckets.select(F.col("id").alias(id_col)).distinct()
-    source = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), text_col)
-    sets = materialise(shingle_sets(source.join(wanted, id_col, "left_semi").dropDuplicates([id_col]), width, id_col, text_col))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs that link, by their full sets. The rarer end's set is joined first, the hub's last."""
-        a = sets.select(F.col("id").alias("src"), F.col("shingles").alias("a"))
-        b = sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b"))
-        common = F.size(F.array_intersect("a", "b"))
-        either = F.size("a") + F.size("b") - common
-        return pairs.join(b, "dst").join(a, "src").where(100 * common.cast("long") >= percent * either.cast("long")).select("src", "dst")
-
-    edges = materialise(confirmed(first))
-    ids = reps.select("id")
-    component = materialise(connected_components(edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))), edges))
-
-    for turn in range(PIVOT_ROUNDS):
-        labelled = buckets.join(component, "id", "left").select("key", "pivot", "id", F.coalesce("component", "id").alias("c"))
-        led = labelled.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(F.when(F.col("id") == F.col("pivot"), F.col("c"))).alias("pc")).where("m > 2 and c0 <> c1").select("key", "pc")
-        outside = labelled.join(led, "key").where("c <> pc")
-        turned = outside.groupBy("key").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(turn))).alias("p")).select("key", F.col("p.id").alias("x"), F.col("p.c").alias("cx"))
-        pairs = labelled.join(turned, "key").where("c <> cx").select(F.col("x").alias("src"), F.col("id").alias("dst")).distinct()
-        edges = materialise(edges.union(confirmed(materialise(weeded(pairs)))))
-        component = materialise(connected_components(edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))), edges))
-
-    labelled = buckets.join(component, "id", "left").select("key", "pivot", "id", F.coalesce("component", "id").alias("c"))
-    # with the pivot compared, a bucket of two is done; so is one of a single component
-    left = labelled.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("m > 2 and c0 <> c1")
-    blocks = left.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    sketched = sig.where("n > 0").select("id", *sketch).dropDuplicates(["id"])
-    members = labelled.where("id <> pivot").join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = members.join(sketched, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c", *sketch)
-    later = confirmed(materialise(similar_within(dealt, most_odd_bits(percent / 100)).distinct()))
-    edges = edges.union(later)
-    component = connected_components(ids, edges)
-
-    named = classes.join(component.withColumnRenamed("id", "rep"), "rep").select("h1", "h2", "component")
-    out = sig.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("h1")).alias("h1"), "h2").join(named, ["h1", "h2"], "left")
-    component_id = F.coalesce("component", "id")
+    rows = assigned(df, width=width, percent=percent, id_col=id_col, text_col=text_col)
     id_type = df.schema[id_col].dataType.simpleString()
-    return out.select(
-        F.col("id").cast(id_type).alias(id_col), F.col("n").alias("n_shingles"), component_id.cast(id_type).alias("component_id"), F.coalesce(F.col("id") == component_id, F.lit(True)).alias("kept")
+    return rows.select(
+        F.col("id").cast(id_type).alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id").cast(id_type).alias("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
+
+
+def without_copies(df: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, with all their columns, but for one row of each component of ``near_duplicates``.
+
+    That row has the component's smallest id and, if several texts of the component have it, the smallest
+    hash of its text. Of rows equal in id and text one stays, whatever their other columns hold; rows
+    without shingles are no copies of anything else. Rows with a null id all stay.
+    """
+    rows = materialise(assigned(df, width=width, percent=percent, id_col=id_col, text_col=text_col).where("c is not null").select("c", "id", "t", "component_id"))
+    least = rows.where("id = component_id").groupBy("c").agg(F.min("t").alias("kept"))
+    named = rows.where("id = component_id").join(least, "c").where("t <> kept").select("id", "t")
+    dropped = rows.where("id <> component_id").select("id", "t").union(named).distinct()
+    own, hashed = "_id", "_hash"
+    while own in df.columns or hashed in df.columns:
+        own, hashed = f"_{own}", f"_{hashed}"
+    docs = df.where(F.col(id_col).isNotNull()).withColumn(own, F.col(id_col).cast("long")).withColumn(hashed, F.xxhash64(text_col))
+    # the join leaves equal rows together, so that finding them takes no further shuffle
+    kept = docs.join(dropped.toDF(own, hashed), [own, hashed], "left_anti")
+    return kept.dropDuplicates([own, hashed]).select(df.columns).union(df.where(F.col(id_col).isNull()))
