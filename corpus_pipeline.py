@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows it is given and returns a DataFrame, which is
 written as Parquet and reread as the next stage's documents. All but the last return the documents' columns.
-Repeated doc_ids, null texts and extra columns pass through; a null doc_id's row is judged like any other.
+Null texts and extra columns pass through. Rows of one doc_id with different texts are judged each by its own;
+of equal rows one stays. A null doc_id's row is judged by the filters and packed, and is no copy of another.
 """
 
 from __future__ import annotations
@@ -25,10 +26,8 @@ def drop_strange_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component of texts that share 80 % of their five-word shingles; one of repeated rows."""
-    copies = minhash.near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id").distinct()
-    # the join leaves the rows of a doc_id together, so that repeated rows are found without a shuffle
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    """One row of each component of texts that share 80 % of their five-word shingles: its smallest doc_id."""
+    return minhash.without_copies(docs, width=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
