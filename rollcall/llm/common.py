@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..shared import materialise, shared_dir
 
-__all__ = ["BoundedCache", "connected_components", "filtered", "hash_split", "materialise", "raw_texts", "shared_dir", "sliced", "texts"]
+__all__ = ["BoundedCache", "agreed_labels", "connected_components", "filtered", "hash_split", "materialise", "raw_texts", "shared_dir", "sliced", "texts"]
 
 
 def hash_split(column: str, divisor: int):
@@ -19,6 +19,12 @@ def hash_split(column: str, divisor: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(divisor)
 
 
+def agreed_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(id, y) of ids that are not null and whose labels, of those that are 0 or 1, all agree."""
+    known = labels.select(id_col, F.col(label_col).cast("int").alias("y")).where(F.col(id_col).isNotNull() & F.col("y").isin(0, 1))
+    return known.groupBy(id_col).agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     """The column as Python strings, null as the empty string."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
@@ -31,13 +37,18 @@ def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
 
 
 class BoundedCache(dict):
-    """Memo of two generations of ``limit`` entries: what was used since the last change of generation survives it."""
+    """Memo of two generations of ``limit`` entries: what was used since the last change of generation survives it.
+
+    Keys longer than ``longest`` are computed each time, which bounds the memo's bytes.
+    """
 
-    def __init__(self, compute, limit: int = 400_000):
+    def __init__(self, compute, limit: int = 400_000, longest: int = 128):
         super().__init__()
-        self._compute, self._limit, self._old = compute, limit, {}
+        self._compute, self._limit, self._longest, self._old = compute, limit, longest, {}
 
     def __missing__(self, key):
+        if len(key) > self._longest:
+            return self._compute(key)
         if len(self) >= self._limit:
             self._old = dict(self)
             self.clear()
@@ -63,7 +74,7 @@ def filtered(df: DataFrame, text_col: str, judge) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keeps = judge()
-        for batch in sliced(batches, 512):
+        for batch in sliced(batches, 128):
             yield batch.filter(pa.array(keeps(texts(batch, text_col)), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import Isotonic
-from .common import materialise, raw_texts, sliced
+from .common import agreed_labels, materialise, raw_texts, sliced
 
 #: Labelled rows that are learned from at most, three quarters for the regression, one for calibration.
 LABELLED_ROWS = 200_000
@@ -105,8 +105,11 @@ class Model:
 
 
 def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality") -> Model:
-    """Learn from ``labels`` (id, 0/1) and the table of statistics; at most about LABELLED_ROWS rows, taken by hash."""
-    known = labels.select(F.col(id_col), F.col(label_col).cast("double").alias("y")).where(F.col(id_col).isNotNull() & F.col("y").isin(0.0, 1.0)).dropDuplicates([id_col])
+    """Learn from ``labels`` (id, 0/1) and the table of statistics; at most about LABELLED_ROWS rows, taken by hash.
+
+    Ids that are null or have both labels are not learned from.
+    """
+    known = agreed_labels(labels, id_col, label_col).withColumn("y", F.col("y").cast("double"))
     share = min(1.0, LABELLED_ROWS / max(1, known.count()))
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit(41)), F.lit(1_000_000)) / 1e6
     rows = materialise(stats.join(known.where(place < share), id_col).withColumn("fits", F.pmod(F.xxhash64(F.col(id_col), F.lit(43)), F.lit(4)) > 0).select("x", "y", "fits"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, forest, langid, minhash, packing, quality, token_count, topk, toxicity, warc
 from .common import hash_split
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(divisor: int, remainder: int):
+    """Whether the id's hash leaves ``remainder``; a null id's row is not held out."""
+    return F.coalesce(hash_split("doc_id", divisor) == remainder, F.lit(False)).alias("held_out")
+
+
 def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -24,7 +30,7 @@ def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     identifier = langid.fit(documents.where(hash_split("doc_id", 3) != 1))
-    return langid.identify(documents, identifier).select("doc_id", (hash_split("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+    return langid.identify(documents, identifier).select("doc_id", held_out(3, 1), "lang_pred", "score", "rejected")
 
 
 def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +50,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(hash_split("doc_id", 5) != 0)
-    return quality.fit_and_score(documents, labels).select("doc_id", (hash_split("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return quality.fit_and_score(documents, labels).select("doc_id", held_out(5, 0), "score", "predicted")
 
 
 def op7_columnar_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +68,7 @@ def op9_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.fit(documents, table(spark, sf_dir, "labels").where(hash_split("doc_id", 4) != 2))
-    return toxicity.score(documents, model).select("doc_id", (hash_split("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+    return toxicity.score(documents, model).select("doc_id", held_out(4, 2), "score", "predicted")
 
 
 QUERIES: dict[str, Query] = {
