@@ -30,9 +30,9 @@ ROWS_PER_CLASS = 6000
 TRAIN_BYTES, CHUNK = 16 << 20, 1000
 #: Sizes of the dictionaries, and lengths of the segments and of the strings by whose frequency segments are chosen.
 TOXIC, ORDINARY = (64 << 10, 16, 8), (512 << 10, 32, 8)
-SPAN, STEP = 28, 16
+SPAN, STEP = 48, 36
 #: Share of ordinary windows that the ordinary dictionary makes shorter than any that can be toxic.
-PLAIN = 0.7
+PLAIN = 0.75
 #: Thresholds, in bytes saved, that calibration chooses from.
 SAVED = range(2, 17)
 #: Stands behind each window, and at the end of each dictionary: zstandard looks for no match in a block's
@@ -58,7 +58,7 @@ def dictionary(chunks: list[bytes], size: int, segment: int, string: int) -> byt
 
 def compressor(content: bytes) -> zstd.ZstdCompressor:
     parameters = zstd.ZstdCompressionParameters(
-        window_log=21, hash_log=19, chain_log=20, search_log=4, min_match=4, target_length=24, strategy=zstd.STRATEGY_BTLAZY2,
+        window_log=21, hash_log=18, chain_log=19, search_log=2, min_match=5, target_length=16, strategy=zstd.STRATEGY_BTOPT,
         write_content_size=False, write_checksum=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS,
     )
     data = zstd.ZstdCompressionDict(content + ANCHOR)
