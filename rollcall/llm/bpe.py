@@ -1,7 +1,7 @@
 """Byte-level BPE by monoid tree reduction.
 
-A piece is encoded by halves; two neighbouring encodings are joined by re-encoding a window of k tokens
-on either side of the seam, k doubling until both ends of the window are stable. An end is stable if its
+A piece that is no token itself is encoded by halves, down to single bytes; two neighbouring encodings are
+joined by re-encoding a window of k tokens on either side of the seam, k doubling until both ends of the window are stable. An end is stable if its
 two tokens, encoded together, stay those two tokens. That suffices: take the first merge of the greedy
 run over the whole bytes that would cross a boundary of two such tokens. Up to it all merges stayed
 inside tokens, so the run over just these two tokens does the same ones and would cross as well.
@@ -21,14 +21,13 @@ from pyspark.sql import DataFrame
 from .common import BoundedCache, sliced, texts
 from .tokens import compiled, read_ranks
 
-LEAF_BYTES = 32
+#: Fixed value: the public pattern, whose pieces start at every single space and newline between words.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def greedy(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of ``data`` by repeatedly merging the lowest-ranked neighbours, leftmost first."""
     n = len(data)
-    if n < 2 or data in ranks:
-        return [ranks[data]] if n else []
     end, prv = list(range(1, n + 1)), list(range(-1, n - 1))  # part i is data[i:end[i]]; end 0: merged away
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
     heapq.heapify(heap)
@@ -60,15 +59,17 @@ class TreeCodec:
         for token, rank in ranks.items():
             self.token[rank] = token
         self.pieces = compiled(pattern).findall
-        # whether the pattern parts words that way; shown on a probe, any other pattern takes the plain way
-        self._by_words = self.pieces("a b\nc d,\ne") == ["a", " b", "\n", "c", " d", ",", "\n", "e"]
+        # only of that pattern it is known how it parts words; any other takes the plain way
+        self._by_words = pattern == WORD_PATTERN
+        self.joins = 0
         self._stable = BoundedCache(lambda pair: greedy(self.token[pair[0]] + self.token[pair[1]], ranks) == [*pair])
-        self._packed = BoundedCache(lambda piece: np.array(self.reduce(piece.encode()), "<u4").tobytes())
+        self._packed = BoundedCache(lambda piece: np.array(self.piece(piece.encode()), "<u4").tobytes())
         # words by whether a space stands before them; None: how it splits depends on what is around it
         self._words = [BoundedCache(lambda w, space=space: self._word(space, w)) for space in ("", " ")]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of both sides' bytes, given the encoding of each."""
+        self.joins += 1
         if not left or not right or self._stable[left[-1], right[0]]:
             return left + right
         k = 1
@@ -80,12 +81,16 @@ class TreeCodec:
             k *= 2
 
     def reduce(self, data: bytes) -> list[int]:
-        """Ids of one piece. Halves are cut at powers of two, so that long repeats meet in step."""
-        if len(data) <= LEAF_BYTES or data in self.ranks:
-            return greedy(data, self.ranks)
+        """The encoding of bytes, up a tree of joins. Halves are cut at powers of two, so that long repeats meet in step."""
+        if len(data) < 2:
+            return [self.ranks[data]] if data else []
         half = 1 << ((len(data) - 1).bit_length() - 1)
         return self.join(self.reduce(data[:half]), self.reduce(data[half:]))
 
+    def piece(self, data: bytes) -> list[int]:
+        """Ids of one piece: its own, if it is a token, as the library has it; else the tree's."""
+        return [self.ranks[data]] if data in self.ranks else self.reduce(data)
+
     def _word(self, space: str, word: str) -> bytes | None:
         if not word or word[0].isspace() or word[-1].isspace():
             return None
@@ -94,8 +99,10 @@ class TreeCodec:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers. Pieces never merge, so the tree above them concatenates.
 
-        Where only single spaces and newlines part the words, a piece starts at each of them (a newline is
-        one piece, a space belongs to the word behind it), so that remembered words can be put together.
+        In WORD_PATTERN, white space is in a piece with what is not only as a single space before it. So where
+        single spaces and newlines part words that neither start nor end in white space, a piece starts at each
+        of them (a newline is one piece, a space belongs to the word behind it), and no contraction reaches over
+        one. Remembered words can then be put together.
         """
         if not self._by_words:
             return b"".join(map(self._packed.__getitem__, self.pieces(text)))
@@ -129,7 +136,7 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, *, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = TreeCodec(read_ranks(ranks_path), pattern)
-        for batch in sliced(batches, 256):
+        for batch in sliced(batches, 128):
             ids = [codec.encode(t) for t in texts(batch, text_col)]
             columns = [
                 batch.column(0),

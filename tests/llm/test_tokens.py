@@ -25,6 +25,17 @@ def frame(spark, texts):
     return spark.createDataFrame([(i, t, "x", None) for i, t in enumerate(texts)], "doc_id bigint, text string, ids string, number int")
 
 
+REPEATED = [(None, "a null id"), (7, "twice the same"), (7, "twice the same"), (7, "another text"), (None, None)]
+
+
+def test_null_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(i, t, 1) for i, t in REPEATED], "doc_id bigint, text string, n_tokens int")
+    key = lambda rows: sorted((str(r.doc_id) for r in rows))
+    for got in (token_count.count_tokens(df, WORDS).collect(), bpe.encode_decode(df, BYTES, public_tokenizers.PATTERN).collect(), packing.pack(df, WORDS).collect()):
+        assert key(got) == ["7", "7", "7", "None", "None"]
+    assert sorted(r.doc_tokens for r in packing.pack(df, WORDS).collect())[0] == 1
+
+
 @pytest.fixture(scope="module")
 def documents(spark):
     return [r.text for r in spark.read.parquet(DOCS).select("text").collect()]
@@ -70,6 +81,20 @@ def test_tree_encoding(spark, documents):
         assert r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_the_tree_encodes_the_pieces_of_the_table(documents):
+    codec = bpe.TreeCodec(read_ranks(BYTES), public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(BYTES), special_tokens={})
+    pieces = {p for t in documents if t for p in codec.pieces(t)}
+    composed = 0
+    for p in pieces:
+        before = codec.joins
+        ids = codec.piece(p.encode())
+        assert ids == library.encode_ordinary(p)
+        assert (codec.joins == before) == (p.encode() in codec.ranks)
+        composed += codec.joins > before
+    assert composed > len(pieces) / 2 and public_tokenizers.PATTERN == bpe.WORD_PATTERN
+
+
 def test_joins_of_every_cut():
     codec = bpe.TreeCodec(read_ranks(BYTES), public_tokenizers.PATTERN)
     for data in [b" international", b"aaaaaaaaaaaaaaaaaaaaaaaa", "naïveté".encode(), b"thingthingthing"]:
