@@ -9,6 +9,9 @@ of the lowest cross-entropy per character. Words are scored once per worker and
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,8 +25,11 @@ from .common import filtered, materialise, sliced, texts
 #: Rows of each language that its model is learned from at most (about), and as many again a quarter to calibrate.
 ROWS_PER_LANGUAGE = 1500
 ORDER = 5
-NGRAMS = 200_000  # of an order and language: the commonest; what others had goes to the shorter contexts
-WORD = 40  # longer runs of letters are cut into words of this length
+#: Bytes of text that all models together are learned from at most (about), dealt evenly to the languages. Bounds what
+#: the driver collects and what is broadcast: an n-gram takes 12 bytes, and text has at most one of an order by byte.
+LEARNED_BYTES = 12 << 20
+BLOCK_WORDS = 100  # that are learned from together or not at all
+LONG = 64  # letters of a word from which it is not remembered
 START, END = 1, 2
 UNKNOWN = "und"
 CHANCE = 4.0  # deviations by which chance may lift a text's entropy
@@ -32,7 +38,15 @@ COMMON, MARGIN, LEAST = 0.99, 2.0, 1.0  # quantile of the calibration rows' exce
 # Odd multipliers of the 64-bit mixing steps (golden ratio and one of SplitMix64's).
 MIX, MIX_A = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
-_runs = re.compile(r"[^\W\d_]{1,%d}" % WORD).findall  # letters, and numerals that are no digits
+
+def _letters() -> str:
+    """A character class of letters with their marks, and numerals that are no digits."""
+    inside = [chr(i).isalnum() and not chr(i).isdecimal() or unicodedata.category(chr(i))[0] == "M" for i in range(sys.maxunicode + 1)]
+    edges = [i for i in range(len(inside)) if inside[i] != (i > 0 and inside[i - 1])] + [len(inside)] * inside[-1]
+    return "[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in zip(edges[::2], edges[1::2], strict=True)) + "]"
+
+
+_runs = re.compile(_letters() + "+").findall
 
 
 def words_of(text: str) -> list[str]:
@@ -97,9 +111,6 @@ class LanguageModel:
             c_keys, c_of = np.unique(context, return_inverse=True)
             total = np.bincount(c_of, count, len(c_keys))
             value = np.maximum(count - discount, 0) / np.maximum(total[c_of], 1e-12)
-            if len(keys) > NGRAMS:
-                kept = np.sort(np.argsort(-count, kind="stable")[:NGRAMS])
-                keys, value, c_of = keys[kept], value[kept], c_of[kept]
             rest = np.clip(1 - np.bincount(c_of, value, len(c_keys)), 1e-6, 1)
             self.grams.append((keys, value.astype(np.float32)))
             self.contexts.append((c_keys, rest.astype(np.float32)))
@@ -150,21 +161,26 @@ class Scorer:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.table = np.empty((0, len(self.identifier.models) + 1))
+        self.table = np.empty((1 << 12, len(self.identifier.models) + 1))
 
     def sums(self, found: list[str]) -> np.ndarray:
         """One row per text: log2 probabilities by language and the number of symbols, 0 without a letter."""
         split = [words_of(t) for t in found]
         if len(self.known) > self.limit:
             self._forget()
-        new = list({w for words in split for w in words if w not in self.known})
+        new = list({w for words in split for w in words if w not in self.known and len(w) < LONG})
         if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.table = np.vstack([self.table, self.identifier.score_words(new)])
+            old, now = len(self.known), len(self.known) + len(new)
+            if now > len(self.table):
+                self.table = np.concatenate([self.table[:old], np.empty((2 * now - old, self.table.shape[1]))])
+            self.known.update(zip(new, range(old, now), strict=True))
+            self.table[old:now] = self.identifier.score_words(new)
         out = np.zeros((len(found), self.table.shape[1]))
         for i, words in enumerate(split):
-            if words:
-                out[i] = self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0)
+            at = [k for k in map(self.known.get, words) if k is not None]
+            out[i] = self.table[at].sum(axis=0)
+            if len(at) < len(words):
+                out[i] += self.identifier.score_words([w for w in words if len(w) >= LONG]).sum(axis=0)
         return out
 
 
@@ -184,7 +200,11 @@ def decide(identifier: Identifier, sums: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier:
-    """Learn from the texts and languages of ``df``; rows of each language taken by hash of the id, about ROWS_PER_LANGUAGE."""
+    """Learn from the texts and languages of ``df``; rows of each language taken by hash of the id, about ROWS_PER_LANGUAGE.
+
+    Of these, blocks of words are taken by hash, up to about LEARNED_BYTES of all languages. Rows without a
+    language or text, and with a null id, teach nothing.
+    """
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(totals)
@@ -194,11 +214,18 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_c
     place = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) / 1e6
     chosen = materialise(rows.where(place < share[F.col("lang")]).withColumn("fits", F.pmod(F.xxhash64("id", F.lit(23)), F.lit(5)) > 0))
 
+    sizes = {r["lang"]: r["bytes"] for r in chosen.where("fits").groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()}
+    parts = {lang: min(1.0, LEARNED_BYTES / len(sizes) / max(1, n)) * (1 << 32) for lang, n in sizes.items()}
+
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 512):
             seen: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True):
-                seen.setdefault(lang, Counter()).update(words_of(text))
+                words, mine = words_of(text), seen.setdefault(lang, Counter())
+                for at in range(0, len(words), BLOCK_WORDS):
+                    block = words[at : at + BLOCK_WORDS]
+                    if zlib.crc32(" ".join(block).encode()) < parts[lang]:
+                        mine.update(block)
             flat = [(lang, w, n) for lang, words in seen.items() for w, n in words.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "w", "n"])
 
@@ -260,12 +287,12 @@ def identify(df: DataFrame, identifier: Identifier, *, id_col: str = "doc_id", t
     repeated rows pass through, one row each; other columns are not read; an empty table gives an empty result.
     """
     id_type = df.schema[id_col].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast(identifier)  # at most NGRAMS entries by order and language
+    shared = df.sparkSession.sparkContext.broadcast(identifier)  # bounded by LEARNED_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         names = [*shared.value.languages, UNKNOWN]
-        for batch in sliced(batches, 512):
+        for batch in sliced(batches, 128):
             best, p, rejected = decide(shared.value, scorer.sums(texts(batch, text_col)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[i] for i in best]), pa.array(p, pa.float64()), pa.array(rejected)], names=[id_col, "lang_pred", "score", "rejected"])
 

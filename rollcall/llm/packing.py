@@ -2,8 +2,8 @@
 
 Every document is cut into full windows and a rest; each rest goes, as it comes, to the fill level that
 minimises the sum over levels of squared counts of partly filled windows, kept in one array of counts.
-Cutting is free, so windows still open at the end of a task (or beyond ``MAX_OPEN``) are filled from one
-another: the emptiest are poured into the fullest, and at most one stays short.
+Cutting is free, so windows can be filled from one another, the fullest from the emptiest: one at a time while
+more than ``MAX_OPEN`` are open, and all at the end of a task, where at most one stays short.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from .common import BoundedCache, sliced, texts
 from .tokens import byte_letters, word_vocabulary
 
-#: Windows held open by a task: bounds its memory to MAX_OPEN windows of ids.
-MAX_OPEN = 2048
+#: Windows held open by a task, which bounds its memory; one more makes the fullest leave, filled from the emptiest.
+MAX_OPEN = 4096
 
 Piece = tuple[object, int, bytes, int]  # document id, start, ids, document's tokens
 
@@ -50,55 +50,53 @@ class SumOfSquares:
         length = len(piece[2]) // 4
         level = self.level_for(length)
         if level:
-            window = self.open[level].pop()
-            self.count[level] -= 1
-            self.n_open -= 1
+            window = self._taken(level)
         else:
             window = []
         window.append(piece)
         if level + length == self.size:
             return [window]
         self._keep(window, level + length)
-        return self._drain(keep=1) if self.n_open > self.max_open else []
+        return self._pour() if self.n_open > self.max_open else []
 
     def _keep(self, window: list[Piece], level: int) -> None:
         self.open.setdefault(level, []).append(window)
         self.count[level] += 1
         self.n_open += 1
 
-    def _drain(self, keep: int) -> list[list[Piece]]:
-        """Pour the emptiest open windows into the fullest. ``keep`` leaves the short one open."""
-        windows = [(level, w) for level in sorted(self.open, reverse=True) for w in self.open[level]]
-        self.open, self.n_open = {}, 0
-        self.count[:] = 0
-        done, lo, hi, spare = [], 0, len(windows) - 1, []
-        while lo <= hi:
-            level, window = windows[lo]
-            lo += 1
-            while level < self.size and (spare or lo <= hi):
-                if not spare:
-                    spare = windows[hi][1]
-                    hi -= 1
+    def _taken(self, level: int) -> list[Piece]:
+        self.count[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
+    def _pour(self) -> list[list[Piece]]:
+        """Fill the fullest open window from the emptiest ones. It is returned once complete, and stays open otherwise."""
+        level = int(np.flatnonzero(self.count)[-1])
+        window = self._taken(level)
+        while level < self.size and self.n_open:
+            lowest = int(np.flatnonzero(self.count)[0])
+            spare, left = self._taken(lowest), lowest
+            while spare and level < self.size:
                 doc, start, ids, total = spare.pop()
                 take = min(self.size - level, len(ids) // 4)
                 window.append((doc, start, ids[: 4 * take], total))
                 level += take
+                left -= take
                 if 4 * take < len(ids):
                     spare.append((doc, start + take, ids[4 * take :], total))
-            if level == self.size or not keep:
-                done.append(window)
-            else:
-                self._keep(window, level)
-        if spare:
-            level = sum(len(p[2]) for p in spare) // 4
-            if keep:
-                self._keep(spare, level)
-            else:
-                done.append(spare)
-        return done
+            if spare:
+                self._keep(spare, left)
+        if level < self.size:
+            self._keep(window, level)
+            return []
+        return [window]
 
     def finish(self) -> list[list[Piece]]:
-        return self._drain(keep=0)
+        """The open windows, poured into one another; at most one of them is short."""
+        done = []
+        while self.n_open:
+            done += self._pour() or [self._taken(int(np.flatnonzero(self.count)[-1]))]
+        return done
 
 
 def pack(df: DataFrame, tokenizer_path: str, *, end_id: int = 2, window: int = 4096, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -149,7 +147,7 @@ def pack(df: DataFrame, tokenizer_path: str, *, end_id: int = 2, window: int = 4
 
         ids_type = None
         step = 4 * window
-        for batch in sliced(batches, 256):
+        for batch in sliced(batches, 128):
             ids_type = batch.schema.field(0).type
             done: list[list[Piece]] = []
             for doc, text in zip(batch.column(0).to_pylist(), texts(batch, text_col), strict=True):

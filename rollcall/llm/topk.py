@@ -22,6 +22,7 @@ from .vectors import matrices
 DIMENSIONS = 16  # a block
 GROUP = 128  # queries whose partial scores are held at once
 EXACT = 2.0**53
+LAST = 2**63 - 1  # scores beyond it, of either sign, are set to it
 
 
 class Best:
@@ -46,15 +47,25 @@ def remaining(matrix: np.ndarray, axis: int) -> np.ndarray:
     return np.sqrt(np.maximum(tail, 0)) * (1 + 1e-9)
 
 
+def scaled(ids: np.ndarray, matrix: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """floor(scale * x) of the rows where it is finite, with their ids."""
+    with np.errstate(over="ignore"):
+        whole = np.floor(scale * matrix)
+    finite = np.isfinite(whole).all(axis=1)
+    return ids[finite], whole[finite]
+
+
 def search(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, ids: np.ndarray, best: Best) -> None:
     """Add one batch of candidates (rows) to ``best``."""
     width = queries.shape[1]
-    if width * np.abs(queries).max(initial=0) * np.abs(candidates).max(initial=0) >= EXACT:
-        for q, row in enumerate(queries):  # beyond doubles' integers: Python's own
-            mine = ids != query_ids[q]
-            scores = np.array([sum(int(a) * int(b) for a, b in zip(row, c, strict=True)) for c in candidates[mine]], dtype=object)
-            best.add(q, scores, ids[mine])
-        return
+    # per candidate: whether its scores may be beyond doubles' integers, which are Python's own then
+    large = width * np.abs(queries).max(initial=0) * np.abs(candidates).max(axis=1, initial=0) >= EXACT
+    if large.any():
+        for q, row in enumerate(queries):
+            mine = large & (ids != query_ids[q])
+            scores = [sum(int(a) * int(b) for a, b in zip(row, c, strict=True)) for c in candidates[mine]]
+            best.add(q, np.array([max(-LAST, min(LAST, x)) for x in scores], dtype=object), ids[mine])
+        candidates, ids = candidates[~large], ids[~large]
     columns = np.ascontiguousarray(candidates.T)
     q_left, c_left = remaining(queries, 1), remaining(columns, 0)
     starts = range(0, width, DIMENSIONS)
@@ -92,14 +103,15 @@ def search(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, i
                 best.add(q, scores[mine], ids[at][mine])
 
 
-def top_k(df: DataFrame, is_query, *, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
+def top_k(df: DataFrame, is_query, *, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 16384) -> DataFrame:
     """(query_id, rank, id, score): each query's ``k`` best candidates by inner product of floor(scale * x).
 
     ``is_query`` is a condition on ``id_col``. Candidates are all rows whose id is not the query's own; ties
     go to the smaller id. Vectors that are null, empty or hold null or non-finite components, and rows with
     a null id, take no part. Only vectors of equal length meet. A repeated row is a candidate each time;
     queries with the same id and vector are one. Other columns are not read. With no queries or candidates
-    the result is empty. Scores beyond a long's range are an error.
+    the result is empty. Vectors whose scaled components are not finite take no part; scores beyond a long's
+    range are set to its end.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null")
     queries = rows.where(is_query(F.col("id")))
@@ -111,7 +123,8 @@ def top_k(df: DataFrame, is_query, *, k: int = 5, scale: float = 256.0, id_col:
         sets = {}
         for batch in own.to_batches():
             for at, matrix in matrices(batch, 1):
-                sets.setdefault(matrix.shape[1], []).append((np.asarray(batch.column(0))[at], np.floor(scale * matrix)))
+                ids, whole = scaled(np.asarray(batch.column(0))[at], matrix, scale)
+                sets.setdefault(matrix.shape[1], []).append((ids, whole))
         sets = {w: (np.concatenate([i for i, _ in x]), np.concatenate([m for _, m in x])) for w, x in sets.items()}
 
         def run(batches: Iterator[pa.RecordBatch], sets=sets) -> Iterator[pa.RecordBatch]:
@@ -121,7 +134,8 @@ def top_k(df: DataFrame, is_query, *, k: int = 5, scale: float = 256.0, id_col:
                 for at, matrix in matrices(batch, 1):
                     if (width := matrix.shape[1]) in sets:
                         q_ids, q = sets[width]
-                        search(q, q_ids, np.floor(scale * matrix), ids[at], best[width])
+                        own, whole = scaled(ids[at], matrix, scale)
+                        search(q, q_ids, whole, own, best[width])
             for w, found in best.items():
                 n_each = [len(i) for _, i in found.found]
                 yield pa.RecordBatch.from_arrays(

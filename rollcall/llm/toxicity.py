@@ -4,8 +4,8 @@ One dictionary is trained on toxic texts, the other on ordinary ones. Windows ar
 running text, SPAN bytes long, each compressed twice: with the ordinary dictionary, and with the toxic one
 put behind it, so that both know ordinary text alike and what the second saves is due to toxic text. A window
 counts as toxic if the ordinary dictionary leaves it longer than most and the toxic one saves enough; both
-thresholds are calibrated. A text's evidence is its number of toxic windows, set against what chance does in
-so many, and turned into a probability by isotonic regression. Thresholds and calibration come from labelled
+thresholds are calibrated. A text's evidence is what is saved beyond the threshold, per window, turned into
+a probability by isotonic regression. Thresholds and calibration come from labelled
 texts that trained neither dictionary.
 """
 
@@ -75,8 +75,8 @@ class Distance:
     def lengths(self, text: str) -> list[int]:
         return [len(self.ordinary(window + ANCHOR)) for window in spans(text.lower().encode())]
 
-    def hits(self, text: str, long: int, least: int) -> tuple[int, np.ndarray]:
-        """(number of windows, how many of the ``long`` ones save at least ``least`` bytes, one more, and so on up to SAVED's end)."""
+    def excess(self, text: str, long: int, least: int) -> tuple[int, np.ndarray]:
+        """(number of windows, bytes that the ``long`` ones save from the ``least``-th on, from the next on, and so on up to SAVED's end)."""
         n, saved = 0, np.zeros(SAVED.stop - least, np.int64)
         ordinary, both = self.ordinary, self.both
         for window in spans(text.lower().encode()):
@@ -85,12 +85,12 @@ class Distance:
             length = len(ordinary(window))
             if length >= long and (more := length - len(both(window)) - least) >= 0:
                 saved[min(more, len(saved) - 1)] += 1
-        return n, saved[::-1].cumsum()[::-1]
+        return n, saved[::-1].cumsum().cumsum()[::-1]
 
 
-def evidence(windows: np.ndarray, hits: np.ndarray) -> np.ndarray:
-    """Toxic windows in terms of chance: the deviation of their number grows with the root of the windows."""
-    return hits / np.sqrt(3 + windows)
+def evidence(windows: np.ndarray, excess: np.ndarray) -> np.ndarray:
+    """Bytes saved beyond the threshold per window, with some windows more against chance in short texts."""
+    return excess / (10 + windows)
 
 
 class Model:
@@ -102,8 +102,8 @@ class Model:
         distance = Distance(self.toxic, self.ordinary)
 
         def score(found: list[str]) -> np.ndarray:
-            counted = [distance.hits(t, self.long, self.saved) for t in found]
-            return self.calibrated(evidence(np.array([n for n, _ in counted]), np.array([h[0] for _, h in counted], float)))
+            counted = [distance.excess(t, self.long, self.saved) for t in found]
+            return self.calibrated(evidence(np.array([n for n, _ in counted]), np.array([e[0] for _, e in counted], float)))
 
         return score
 
@@ -161,23 +161,23 @@ def calibrated(rest: DataFrame, toxic: bytes, ordinary: bytes, share: dict[int,
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance(toxic, ordinary)
         for batch in sliced(batches, 64):
-            found = [distance.hits(t, long, SAVED.start) for t in texts(batch, "text")]
-            hits = pa.array([h.tolist() for _, h in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), hits], names=["y", "n", "hits"])
+            found = [distance.excess(t, long, SAVED.start) for t in texts(batch, "text")]
+            excess = pa.array([e.tolist() for _, e in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), excess], names=["y", "n", "excess"])
 
-    found = rest.mapInArrow(counted, "y int, n long, hits array<long>").orderBy("n", "y", "hits").toArrow()
+    found = rest.mapInArrow(counted, "y int, n long, excess array<long>").orderBy("n", "y", "excess").toArrow()
     y, n = (np.array(found.column(i).to_pylist(), int) for i in (0, 1))
-    hits = np.array(found.column(2).to_pylist(), float).reshape(len(y), len(SAVED))
+    excess = np.array(found.column(2).to_pylist(), float).reshape(len(y), len(SAVED))
     weights = np.where(y == 1, 1 / share[1], 1 / share[0])
     halves = [np.arange(len(y)) % 2 == i for i in (0, 1)]
 
     def error(i: int) -> float:
         """Squared error of each half's rows by the calibration of the other half."""
-        scores = evidence(n, hits[:, i])
+        scores = evidence(n, excess[:, i])
         return sum(float((weights[h] * (Isotonic(scores[~h], y[~h], weights[~h], default=prior)(scores[h]) - y[h]) ** 2).sum()) for h in halves)
 
     best = min(range(len(SAVED)), key=error)
-    return Model(toxic, ordinary, long, SAVED[best], Isotonic(evidence(n, hits[:, best]), y, weights, default=prior))
+    return Model(toxic, ordinary, long, SAVED[best], Isotonic(evidence(n, excess[:, best]), y, weights, default=prior))
 
 
 def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

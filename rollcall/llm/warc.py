@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, shared_dir, sliced
 
-CHUNK = 1 << 18
+CHUNK, INFLATED = 1 << 18, 1 << 20  # bytes read, and made of them, at once
 LEVEL = 1
 #: Payloads shorter than this are never revisits.
 REVISIT_BYTES = 100
@@ -45,6 +45,8 @@ def created(path: str):
     attempt = f"{inner}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.tmp"
     with system.open_output_stream(attempt) as out:
         yield out
+    if system.get_file_info(inner).type != fs.FileType.NotFound:
+        system.delete_file(inner)  # of an attempt before; some stores do not move onto a file
     system.move(attempt, inner)
 
 
@@ -80,16 +82,26 @@ def parsed(head: bytes) -> dict[str, str]:
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or many members, chunk by chunk."""
-    engine = zlib.decompressobj(31)
+    """The bytes of a gzip file of one or many members, at most INFLATED at a time.
+
+    Zero bytes between and behind members are padding. A stream that is cut short is an error.
+    """
+    engine, inside = zlib.decompressobj(31), False
     while data := stream.read(CHUNK):
-        while data:
-            yield engine.decompress(data)
-            data = engine.unused_data
+        while True:
+            if not inside and not (data := data.lstrip(b"\0")):
+                break
+            inside = True
+            part = engine.decompress(data, INFLATED)
+            yield part
             if engine.eof:
-                engine = zlib.decompressobj(31)
-    if tail := engine.flush():
-        yield tail
+                data, engine, inside = engine.unused_data, zlib.decompressobj(31), False
+            else:
+                data = engine.unconsumed_tail
+                if not data and len(part) < INFLATED:
+                    break
+    if inside:
+        raise ValueError("a gzip stream ends before its end mark")
 
 
 def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
@@ -239,7 +251,10 @@ def archive(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col:
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(payload, F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     repeated = rows.where(F.length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    known = rows.join(repeated, "digest", "left").withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")))
+    # rows that can have no partner are spread by a key of their own
+    own = F.when(F.length("payload") >= REVISIT_BYTES, F.col("digest")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id()))
+    rows = rows.withColumn("shared", own)
+    known = rows.join(repeated.withColumnRenamed("digest", "shared"), "shared", "left").withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")))
     return normalise(write(known, f"{folder}/raw"), f"{folder}/records")
 
 

@@ -66,6 +66,21 @@ def test_one_odd_text_does_not_set_the_rejection_limit(spark):
         assert langid.decide(identifier, langid.Scorer(identifier).sums([t[:200] for t in STRANGE]))[2].all()
 
 
+def test_words_hold_their_marks_and_any_length():
+    assert langid.words_of("हिन्दी भाषा, ไทย 12 a_b") == ["हिन्दी", "भाषा", "ไทย", "a", "b"]
+    assert langid.words_of("x" * 5000) == ["x" * 5000]
+
+
+def test_remembered_and_long_words_add_up(spark):
+    learned = langid.fit(spark.createDataFrame([(i, f"the and of {w} house", "en") for i, w in enumerate("abcdefgh")], "doc_id bigint, text string, lang string"))
+    scorer = langid.Scorer(learned, limit=3)
+    texts = ["the " + "a" * 300 + " house", "of and house", "", "the the"]
+    for _ in range(3):
+        for t, sums in zip(texts, scorer.sums(texts), strict=True):
+            words = langid.words_of(t)
+            assert np.allclose(sums, learned.score_words(words).sum(axis=0) if words else 0)
+
+
 def test_language_models_are_distributions():
     words = ["abab", "abc", "cab", "bca", "aab"]
     m = langid.LanguageModel(words, np.array([5, 3, 2, 2, 1]))
@@ -88,11 +103,18 @@ def evaluated(rows, labels, column):
     return (y == p).mean(), above
 
 
-@pytest.mark.parametrize("query,column,least", [("op6_fourier_quality", "quality", 0.95), ("op10_compression_toxicity", "toxic", 0.7)])
-def test_classifiers(spark, query, column, least):
-    labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    rows = queries.QUERIES[query](spark, SF).collect()
-    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count() and all(0 <= r.score <= 1 for r in rows)
+def f1(rows, labels, column):
+    pairs = [(labels[r.doc_id][column], r.predicted) for r in rows if r.doc_id in labels]
+    hit = sum(y and p for y, p in pairs)
+    return 2 * hit / max(1, sum(y for y, _ in pairs) + sum(p for _, p in pairs))
+
+
+@pytest.mark.parametrize("query,column,least,sf,balance", [("op6_fourier_quality", "quality", 0.95, SF, 0.9), ("op10_compression_toxicity", "toxic", 0.7, "/root/testdata/sf0.1", 0.45)])
+def test_classifiers(spark, query, column, least, sf, balance):
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = queries.QUERIES[query](spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count() and all(0 <= r.score <= 1 for r in rows)
+    assert f1([r for r in rows if r.held_out], labels, column) > balance
     accuracy, area = evaluated([r for r in rows if r.held_out], labels, column)
     assert accuracy > 0.8 and area > least
 
@@ -106,6 +128,36 @@ def test_classifiers_of_odd_rows(spark):
         assert kept.columns == odd(spark).columns
 
 
+def test_windows_cover_whole_texts():
+    for n in (1, 11, 12, 13, 47, 48, 49, 84, 85, 1000):
+        data = bytes(range(256)) * 4
+        found = list(toxicity.spans(data[:n]))
+        assert found[0] == data[: toxicity.SPAN][:n] and found[-1][-1:] == data[n - 1 : n]
+        assert len(found) * toxicity.STEP + toxicity.SPAN > n
+    assert not list(toxicity.spans(b""))
+
+
+def test_toxic_words_anywhere_in_a_text_count(spark):
+    import random
+
+    rng = random.Random(3)
+    plain = lambda n: " ".join("".join(rng.choices(["an", "er", "th", "ou", "ing", "le", "st", "re"], k=rng.randrange(1, 5))) for _ in range(n))
+    toxic = lambda n: " ".join(plain(8) + " " + rng.choice(["vomiquark", "zubbelfix", "kwogjamm"]) for _ in range(n // 8))
+    rows = [(i, plain(rng.randrange(1, 800)) + " " + (toxic(40) if i % 3 == 0 else plain(85)), int(i % 3 == 0)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(df, df.select("doc_id", "toxic"))
+    # as clean as the rest for 3000 words, toxic at the very end
+    late = plain(3000) + " " + toxic(600)
+    assert model.scorer()([late, plain(4000)]).tolist() == pytest.approx([1, 0], abs=0.3)
+
+
+def test_conflicting_labels_teach_nothing(spark):
+    from rollcall.llm.common import agreed_labels
+
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, 1), (3, None), (None, 1), (4, 7)], "doc_id bigint, toxic int")
+    assert [tuple(r) for r in agreed_labels(labels, "doc_id", "toxic").collect()] == [(2, 1)]
+
+
 def test_isotonic():
     f = Isotonic(np.array([1, 2, 3, 4, 4]), np.array([0, 1, 0, 1, 1]))
     assert f(np.array([0, 1, 2, 3, 3.5, 9])).tolist() == [0, 0, 0.5, 0.5, 0.5, 1]
@@ -149,6 +201,26 @@ def test_normalising_foreign_archives(spark, tmp_path):
     assert (tmp_path / "out/whole.warc.gz").read_bytes() == (tmp_path / "out/parts.warc.gz").read_bytes()
 
 
+def test_cut_and_padded_archives():
+    import io
+
+    whole = gzip.compress(b"".join(warc.page_record(i, "u", b"x" * 5000, "d", None) for i in range(200)))
+    assert len(list(warc.records(warc.inflated(io.BytesIO(whole + b"\0" * 700_000))))) == 200
+    assert max(map(len, warc.inflated(io.BytesIO(gzip.compress(b"\0" * 30_000_000))))) <= warc.INFLATED
+    engine = __import__("zlib").compressobj(1, 8, 31)
+    cut = engine.compress(warc.page_record(1, "u", b"abc", "d", None)) + engine.flush(__import__("zlib").Z_FULL_FLUSH)
+    for data in (cut, whole[:-4], whole[:1000]):
+        with pytest.raises(ValueError):
+            list(warc.records(warc.inflated(io.BytesIO(data))))
+
+
+def test_a_file_is_written_again(tmp_path):
+    for data in (b"first", b"second"):
+        with warc.created(str(tmp_path / "x")) as out:
+            out.write(data)
+    assert (tmp_path / "x").read_bytes() == b"second" and len(list(tmp_path.iterdir())) == 1
+
+
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert warc.round_trip(none).count() == 0

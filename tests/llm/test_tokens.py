@@ -149,9 +149,11 @@ def test_level_choice_minimises_the_sum_of_squares():
 
 def test_many_open_windows_are_drained():
     p = packing.SumOfSquares(100, max_open=5)
+    most = 0
     done = [w for i in range(500) for w in p.place((i, 0, bytes(4 * (51 + i % 7)), 51 + i % 7))] + p.finish()
     assert sum(len(x[2]) for w in done for x in w) == sum(4 * (51 + i % 7) for i in range(500))
     assert sum(sum(len(x[2]) for x in w) < 400 for w in done) <= 1
+    assert p.n_open == most == 0 and not p.count.any()
 
 
 def test_empty_tables(spark):
