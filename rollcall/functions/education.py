@@ -116,11 +116,11 @@ def parsed(entry: Column) -> Column:
         with_degree = F.struct(F.regexp_replace(strip(F.substr(line, F.lit(1), at - 1)), "[, \\-&]+$", "").alias("institution"), named.alias("degree"), field.alias("field"))
 
         words = F.split(line, " ")
-        rest = F.array_join(F.slice(words, 2, 1_000_000), " ")
+        rest = F.array_join(F.slice(words, F.lit(2), F.size(words)), " ")
         place = F.array_min(F.filter(F.array(*(F.instr(F.lower(rest), w) for w in CUT_PLACES)), lambda i: i > 0))
         half = F.floor(F.size(words) / 2).cast("int")
         by_place = F.struct(strip(F.substr(rest, place)).alias("institution"), F.get(words, F.lit(0)).alias("degree"), F.regexp_replace(strip(F.substr(rest, F.lit(1), place - 1)), "[, \\-&]+$", "").alias("field"))
-        by_half = F.struct(F.array_join(F.slice(words, half + 1, 1_000_000), " ").alias("institution"), F.get(words, F.lit(0)).alias("degree"), F.array_join(F.slice(words, F.lit(2), F.greatest(half - 1, F.lit(0))), " ").alias("field"))
+        by_half = F.struct(F.array_join(F.slice(words, half + 1, F.size(words)), " ").alias("institution"), F.get(words, F.lit(0)).alias("degree"), F.array_join(F.slice(words, F.lit(2), F.greatest(half - 1, F.lit(0))), " ").alias("field"))
         short = F.struct(blank_to_null(rest).alias("institution"), blank_to_null(F.get(words, F.lit(0))).alias("degree"), F.lit(None).cast("string").alias("field"))
         parts = F.when(word.isNotNull(), with_degree).when(place.isNotNull(), by_place).when(F.size(words) >= 3, by_half).otherwise(short)
 

@@ -54,7 +54,7 @@ def links(text: Column) -> Column:
     urls = F.concat(plain, F.array_except(bare, plain))
     on_platform = lambda u: F.lower(u).rlike("|".join(map(re.escape, NO_PORTFOLIO)))
     own = F.filter(urls, lambda u: ~on_platform(u))
-    other = F.concat(F.slice(own, 2, 1_000_000), F.filter(urls, on_platform))
+    other = F.concat(F.slice(own, F.lit(2), F.size(own)), F.filter(urls, on_platform))
     return F.struct(F.get(find_all(text, LINKEDIN), 0).alias("linkedin"), F.get(find_all(text, GITHUB), 0).alias("github"), F.get(own, 0).alias("portfolio"), other.alias("other"))
 
 

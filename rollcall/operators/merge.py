@@ -206,5 +206,5 @@ def resolution(field: str, values: DataFrame, config: Config | None = None) -> D
     every = stated.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("trust_rank", "seq", "value", F.col("source_type").alias("source")))).alias("all"))
     best = F.get("all", F.lit(0))
     reason = F.concat(F.lit("Source '"), best["source"], F.lit("' has highest trust rank ("), best["trust_rank"].cast("string"), F.lit(")"))
-    rest = F.transform(F.slice("all", 2, 1_000_000), lambda x: F.struct(x["value"].alias("value"), x["source"].alias("source"), x["trust_rank"].alias("trust_rank")))
+    rest = F.transform(F.slice("all", F.lit(2), F.size("all")), lambda x: F.struct(x["value"].alias("value"), x["source"].alias("source"), x["trust_rank"].alias("trust_rank")))
     return every.select("cluster_id", F.lit(field).alias("field"), (F.size("all") > 1).alias("conflict"), best["value"].alias("chosen_value"), best["source"].alias("chosen_source"), F.when(F.size("all") > 1, reason).alias("chosen_reason"), rest.alias("rejected"))

@@ -34,7 +34,8 @@ def resolve_records(records: DataFrame, config: Config | None = None, output: di
     records = materialise(records)
     clusters = materialise(resolve.cluster(records, config))
     feats = resolve.features(records, config)
-    scores = resolve.score_pairs(resolve.block_pairs(resolve.block_keys(feats)), feats, config)
+    # where every blocked pair matches, a record's match with the first of its block explains it; all pairs would grow with the block's square
+    scores = resolve.score_pairs(resolve.block_pairs(resolve.block_keys(feats), stars=resolve.every_pair_matches(config)), feats, config)
     profiles, provenance = merge.merge(records, clusters, config)
     provenance = materialise(provenance)
     profiles = materialise(confidence.score_profiles(profiles, provenance))

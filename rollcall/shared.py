@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests on one machine.
+#: Used only where the session names no folder and runs on one machine, as in tests.
 FALLBACK_CHECKPOINT_DIR = "/tmp/checkpoints"
 
 
@@ -14,6 +14,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the session's ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = FALLBACK_CHECKPOINT_DIR
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/rollcall/{uuid.uuid4().hex}"

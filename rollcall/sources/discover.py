@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 DISCOVERED = "seq bigint, path string, is_file boolean"
 
-NO_USERS = "features|topics|explore|settings|orgs|trending|collections|events|sponsors"
+# First parts of GitHub paths that are fetched as no user.
+NO_USERS = ["features", "pricing", "about", "explore", "marketplace", "topics", "trending", "login", "signup"]
 
 
 def is_url(path: str) -> bool:

@@ -14,7 +14,7 @@ from ..functions.urls import github_username
 from ..schema import RECORD, conform, ddl
 from ..shared import materialise
 from . import csv_records, remote, text_records
-from .discover import discover, source_type
+from .discover import NO_USERS, discover, source_type
 from .json_records import PROJECTIONS
 
 
@@ -80,7 +80,7 @@ def ingest(spark: SparkSession, paths: list[str], config: Config | None = None,
         texts = text_records.pdf_texts(content).where(F.trim("text") != "").withColumn("key", plain(F.col("path"))).drop("path").join(pdfs.withColumn("key", plain(F.col("path"))), "key")
         parts.append(numbered(texts, text_records.from_resume_text(F.col("text"), keywords), F.lit(0), F.lit("pdf"), F.col("path"), F.col("seq")))
     if transport is not None and any(not is_file for _, is_file in kinds):
-        urls = sources.where("not is_file and source_type is not null").withColumn("user", github_username(F.col("path"))).repartition(max(1, min(64, len(listed))))
+        urls = sources.where("not is_file and source_type is not null").withColumn("user", github_username(F.col("path"), NO_USERS)).repartition(max(1, min(64, len(listed))))
         # each kind reads it, and every URL is asked once
         fetched = materialise(remote.fetch(urls, transport, repos=config.max_github_repos, timeout=config.request_timeout_seconds))
         parts.append(json_records(fetched.where("source_type <> 'portfolio_web'")))
