@@ -62,6 +62,7 @@ class TreeCodec:
         # only of that pattern it is known how it parts words; any other takes the plain way
         self._by_words = pattern == WORD_PATTERN
         self.joins = 0
+        self._node = BoundedCache(self.reduce, longest=8)  # small nodes of the tree are remembered
         self._stable = BoundedCache(lambda pair: greedy(self.token[pair[0]] + self.token[pair[1]], ranks) == [*pair])
         self._packed = BoundedCache(lambda piece: np.array(self.piece(piece.encode()), "<u4").tobytes())
         # words by whether a space stands before them; None: how it splits depends on what is around it
@@ -85,7 +86,7 @@ class TreeCodec:
         if len(data) < 2:
             return [self.ranks[data]] if data else []
         half = 1 << ((len(data) - 1).bit_length() - 1)
-        return self.join(self.reduce(data[:half]), self.reduce(data[half:]))
+        return self.join(self._node[data[:half]], self._node[data[half:]])
 
     def piece(self, data: bytes) -> list[int]:
         """Ids of one piece: its own, if it is a token, as the library has it; else the tree's."""
