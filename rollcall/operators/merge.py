@@ -1,7 +1,8 @@
 """Merging clusters to profiles, with a provenance row for every value that is taken.
 
 Single values are chosen by ``min_by`` aggregates over the records. Lists go through one long table of items,
-reduced by (cluster, field, key, source), then by key, then by cluster: no step gathers a cluster's records.
+reduced by (cluster, field, key, source), then by key, then by cluster: no step gathers a cluster's records but for
+their ids, which a profile lists. What several outputs share is written once to the shared folder: records are read twice.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from ..functions.strings import blank_to_null, clean_list, strip, title_case
 from ..functions.tables import lookup, map_literal, read_taxonomy
 from ..functions.urls import normalize_url
 from ..schema import LINKS, LOCATION, PROFILE, SKILL, conform
+from ..shared import materialise
 
 # How sure a stated value of each field is.
 STATED = {
@@ -72,7 +74,7 @@ def prepared(records: DataFrame, clusters: DataFrame, config: Config) -> DataFra
 
 
 def scalars(r: DataFrame) -> DataFrame:
-    """One row a cluster: each single value as struct(value, source, path), with how many records state it."""
+    """One row a cluster: each single value as struct(value, source, path), with how many records state it, and its records."""
     picks = []
     ranked, first = F.struct("rank", "seq"), F.col("seq")
     for name, value, order in (
@@ -82,7 +84,8 @@ def scalars(r: DataFrame) -> DataFrame:
         row = F.struct(F.col(value).alias("value"), F.col("source_type").alias("source"), F.col("source_path").alias("path"))
         picks.append(F.min_by(row, F.when(F.col(value).isNotNull(), order)).alias(name))
         picks.append(F.count(value).alias(f"n_{name}"))
-    return r.groupBy("cluster_id").agg(*picks, F.min_by("record_id", "seq").alias("first_record"))
+    merged_from = F.transform(F.array_sort(F.collect_list(F.struct("seq", "record_id"))), lambda x: x["record_id"]).alias("merged_from")
+    return r.groupBy("cluster_id").agg(*picks, F.min_by("record_id", "seq").alias("first_record"), merged_from)
 
 
 def items(r: DataFrame, config: Config) -> DataFrame:
@@ -171,17 +174,16 @@ def candidate_id(one: DataFrame) -> Column:
 def merge(records: DataFrame, clusters: DataFrame, config: Config | None = None) -> tuple[DataFrame, DataFrame]:
     """(profiles, provenance) of clustered records; profiles also have ``cluster_id`` and no confidence yet.
 
-    Null lists count as empty. Records without a cluster are left out.
+    Null lists count as empty. Records without a cluster are left out. Runs jobs: the profiles are a written table.
     """
     config = config or Config()
     r = prepared(records, clusters, config)
-    one = scalars(r)
-    rows = items(r, config)
-    found = distinct_items(rows)
+    one = materialise(scalars(r))
+    rows = materialise(items(r, config))
+    found = materialise(distinct_items(rows))
     lists = gathered(found)
-    merged_from = r.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "record_id"))), lambda x: x["record_id"]).alias("merged_from"))
     empty = lambda name: F.coalesce(F.col(name), F.array())
-    whole = one.join(lists, "cluster_id", "left").join(merged_from, "cluster_id").withColumns({k: F.coalesce(F.col(k), F.array().cast("array<string>")) for k in ("id_keys", "name_keys")})
+    whole = one.join(lists, "cluster_id", "left").withColumns({k: F.coalesce(F.col(k), F.array().cast("array<string>")) for k in ("id_keys", "name_keys")})
     plain = lambda name: F.transform(empty(name), lambda x: x["a"])
     # by falling confidence; in order of mention at the same
     skills = F.transform(F.array_sort(F.transform(empty("skills"), lambda s: F.struct((-s["confidence"]).alias("o"), s["at"].alias("at"), s.alias("s")))), lambda x: F.struct(x["s"]["a"].alias("name"), x["s"]["confidence"].alias("confidence"), x["s"]["sources"].alias("sources")))
@@ -195,7 +197,7 @@ def merge(records: DataFrame, clusters: DataFrame, config: Config | None = None)
         F.col("v_links").alias("links"), F.col("headline.value").alias("headline"), F.col("years_experience.value").alias("years_experience"), F.col("v_skills").alias("skills"),
         F.col("v_experience").alias("experience"), F.col("v_education").alias("education"), F.lit(0.0).alias("overall_confidence"), "merged_from",
     )
-    profiles = conform(profiles, {"cluster_id": "bigint"} | PROFILE)
+    profiles = materialise(conform(profiles, {"cluster_id": "bigint"} | PROFILE))
     return profiles, provenance_rows(one, found, rows, profiles.select("cluster_id", "candidate_id"))
 
 
