@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import FIELD_WEIGHTS, Config
+from ..config import FIELD_WEIGHTS, SKILL_METHODS, Config
 from ..functions import countries, dates, names, phones, skills, text, urls
 from ..functions.tables import country_aliases, months, nicknames, skill_aliases
 from ..operators import confidence, merge, projection, provenance, report, resolve
 from ..schema import RAW_EDUCATION, RAW_EXPERIENCE, RECORD, conform
-from ..shared import materialise
-from ..sources import json_records, text_records, variants
+from ..shared import materialise, shared_dir
+from ..sinks import file_stem
+from ..sources import csv_records, json_records, text_records, variants
 
 # The person relation that is derived from the customer table; the same text runs in Spark and DuckDB.
 PEOPLE = """
@@ -297,6 +298,49 @@ def json_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+# --- CSV and resume text
+
+
+@query(
+    over(
+        "SELECT CAST(seq AS VARCHAR) AS headline, full_name, email, phone, skill || ',Python,' || skill AS skills, 'Company ' || person AS company, city, country, github, CAST(yoe AS DOUBLE) AS years_experience, 'School ' || (person % 4) AS institution "
+        "FROM (SELECT * REPLACE (CASE WHEN seq % 13 <> 5 THEN full_name END AS full_name) FROM people) WHERE full_name IS NOT NULL OR email IS NOT NULL OR phone IS NOT NULL"
+    )
+)
+def ats_csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the person relation as a CSV export under other headers; rows without name, email and phone are of no use."""
+    p = people(spark, sf_dir)
+    text_of = lambda c: F.col(c).cast("string")
+    export = p.select(
+        F.when(F.col("seq") % 13 != 5, F.col("full_name")).alias("Candidate Name"), F.col("email").alias("E-Mail"), F.col("phone").alias("Mobile"), F.concat("skill", F.lit("; Python |"), "skill").alias("Technical Skills"),
+        F.concat(F.lit("Company "), text_of("person")).alias("Employer"), text_of("seq").alias("Job Title"), F.col("city").alias("City"), F.col("country").alias("Country Code"),
+        F.col("github").alias("GitHub Profile"), text_of("yoe").alias("YOE"), F.concat(F.lit("School "), (F.col("person") % 4).cast("string")).alias("University"),
+    )
+    path = shared_dir(spark)
+    export.write.csv(path, header=True)
+    rows = csv_records.read_rows(spark, path)
+    r = rows.select(csv_records.project([c for c in rows.columns if c != "_place"]).alias("r")).where(csv_records.is_useful(F.col("r")))
+    return r.select(
+        "r.headline", "r.full_name", F.get("r.emails", F.lit(0)).alias("email"), F.get("r.phones", F.lit(0)).alias("phone"), F.array_join("r.skills", ",").alias("skills"), F.get("r.experience", F.lit(0))["company"].alias("company"),
+        "r.location.city", "r.location.country", "r.links.github", "r.years_experience", F.get("r.education", F.lit(0))["institution"].alias("institution"),
+    )
+
+
+RESUME = r"concat('Curriculum Vitae', chr(10), {name}, chr(10), 'Contact: ', coalesce(email, 'none'), chr(10), coalesce(github, 'no page'), chr(10), 'leetcode.com/u', CAST(person AS STRING), '/ https://me.example.org/p', CAST(person AS STRING), '/', chr(10), CAST(person % 30 AS STRING), '+ years of experience in retail')"
+
+
+@query(
+    over(
+        "SELECT seq, 'Anna ' || CASE CAST(person % 3 AS INT) WHEN 0 THEN 'Lee' WHEN 1 THEN 'Kim' ELSE 'Maria Roy' END AS name, email, github, 'https://me.example.org/p' || person AS portfolio, 'https://leetcode.com/u' || person AS other, CAST(person % 30 AS DOUBLE) AS years FROM people"
+    )
+)
+def resume_text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a resume's text for each of the person relation: headings, a name, addresses, years."""
+    name = "concat('ANNA ', CASE CAST(person % 3 AS INT) WHEN 0 THEN 'lee' WHEN 1 THEN 'Kim' ELSE 'maria roy' END)"
+    r = people(spark, sf_dir).select("seq", text_records.from_resume_text(F.expr(RESUME.format(name=name)), []).alias("r"))
+    return r.select("seq", F.col("r.full_name").alias("name"), F.get("r.emails", F.lit(0)).alias("email"), "r.links.github", "r.links.portfolio", F.array_join("r.links.other", ",").alias("other"), F.col("r.years_experience").alias("years"))
+
+
 # --- resolution
 
 KEYS_SQL = f"""
@@ -346,9 +390,9 @@ def block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.block_pairs(_keys(spark, sf_dir))
 
 
-def _scores(spark: SparkSession, sf_dir: str, config: Config | None = None) -> DataFrame:
+def _scores(spark: SparkSession, sf_dir: str, config: Config | None = None, *, stars: bool = False) -> DataFrame:
     feats = resolve.features(records(spark, sf_dir))
-    return resolve.score_pairs(resolve.block_pairs(resolve.block_keys(feats)), feats, config)
+    return resolve.score_pairs(resolve.block_pairs(resolve.block_keys(feats), stars=stars), feats, config)
 
 
 @query(whole(f"{KEYS_SQL}, {SCORE_SQL}", "SELECT seq_a, seq_b, total_score, CAST(n_signals AS INT) AS n_signals FROM scores"))
@@ -362,6 +406,20 @@ def pair_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("seq_a", "seq_b", "is_match", confidence.match_confidence(F.col("total_score"), F.lit(375)).alias("match_confidence"))
 
 
+@query(over("SELECT a.seq AS seq_a, b.seq AS seq_b, 1 AS linkedin, CAST(a.seq % 2 = b.seq % 2 AS INT) AS education FROM people a JOIN people b ON a.person = b.person AND a.seq < b.seq WHERE a.seq % 5 <> 4 AND b.seq % 5 <> 4"))
+def profile_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LinkedIn and education signals of pairs that share a LinkedIn page; of five records four state it."""
+    r = records(spark, sf_dir)
+    person = people(spark, sf_dir).select("seq", "person")
+    page = F.when(F.col("seq") % 5 != 4, F.concat(F.lit("https://www.linkedin.com/in/p-"), F.col("person").cast("string"), F.lit("/")))
+    study = F.struct(F.concat(F.lit("School "), (F.col("seq") % 2).cast("string")).alias("institution"), *(F.lit(None).cast("string").alias(k) for k in ("degree", "field_of_study", "start_date", "end_date")))
+    more = r.join(person, "seq").withColumn("links", F.col("links").withField("linkedin", page)).withColumn("education", F.array(study).cast(RAW_EDUCATION)).drop("person")
+    feats = resolve.features(more)
+    keys = resolve.block_keys(feats).where("key_type = 'linkedin'")
+    holds = lambda s: F.exists("signals", lambda x: x["signal_type"] == s).cast("int")
+    return resolve.score_pairs(resolve.block_pairs(keys), feats).select("seq_a", "seq_b", holds("linkedin_match").alias("linkedin"), holds("education_overlap").alias("education"))
+
+
 @query(whole(CLUSTERS_SQL, "SELECT seq, cluster_id FROM clusters"))
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.cluster(records(spark, sf_dir))
@@ -498,6 +556,43 @@ def overall_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("cluster_id", confidence.coverage(scored).cast("double").alias("coverage"), F.col("overall_confidence").alias("overall"), confidence.tier(F.col("overall_confidence")).alias("tier"))
 
 
+@query(
+    whole(
+        f"{RANKED_SQL}, {PROVENANCE_SQL}, {OVERALL_SQL}, n AS (SELECT candidate_id, source, count(*) AS n FROM prov GROUP BY ALL)",
+        "SELECT cids.candidate_id, f.overall, CAST(filled AS DOUBLE) / 10 AS coverage, (SELECT string_agg(source || ':' || n, ',' ORDER BY source) FROM n WHERE n.candidate_id = cids.candidate_id) AS contributions, "
+        "(SELECT CAST(sum(n) AS BIGINT) FROM n WHERE n.candidate_id = cids.candidate_id) AS records, (SELECT CAST(confidence AS DOUBLE) FROM fc WHERE fc.candidate_id = cids.candidate_id AND field = 'skills') AS skills, 0.0::DOUBLE AS headline FROM final f JOIN cids USING (cluster_id)",
+    )
+)
+def confidence_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each profile's confidence by field and source; no record states a headline."""
+    _, p, log = _merged(spark, sf_dir)
+    scored = confidence.score_profiles(p, log)
+    parts = F.transform(F.map_entries("source_contributions"), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string")))
+    field = F.col("field_confidences")
+    return confidence.breakdown(scored, log).select(
+        "candidate_id", F.col("overall_confidence").alias("overall"), "coverage", F.array_join(F.array_sort(parts), ",").alias("contributions"),
+        F.col("total_provenance_records").alias("records"), field["skills"].alias("skills"), field["headline"].alias("headline"),
+    )
+
+
+METHOD_SQL = f"CASE WHEN field LIKE 'skills.%' THEN coalesce({case_of(SKILL_METHODS, 'source')}, 'inferred') WHEN field IN ('full_name', 'years_experience') AND (SELECT count(*) FROM r WHERE r.cluster_id = prov.cluster_id) > 1 THEN 'conflict_resolution' ELSE 'direct_assertion' END"
+
+
+@query(whole(f"{RANKED_SQL}, {PROVENANCE_SQL}", f"SELECT field, source, {METHOD_SQL} AS method, count(*) AS n FROM prov GROUP BY ALL"))
+def provenance_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, log = _merged(spark, sf_dir)
+    return log.groupBy("field", "source", "method").agg(F.count("*").alias("n"))
+
+
+@query(whole(f"{RANKED_SQL}, {PROVENANCE_SQL}", "SELECT CASE WHEN candidate_id = (SELECT min(candidate_id) FROM cids) THEN 'renamed' ELSE candidate_id END AS candidate_id, source, CAST(confidence AS DOUBLE) AS confidence FROM prov WHERE field = 'full_name'"))
+def provenance_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who stated each profile's name, the profile with the smallest id under another one."""
+    _, p, log = _merged(spark, sf_dir)
+    smallest = p.agg(F.min("candidate_id")).first()[0]
+    changed = provenance.rekey(log, smallest, "renamed") if smallest is not None else log
+    return provenance.history(changed, field="full_name").select("candidate_id", "source", "confidence")
+
+
 @query(whole(RANKED_SQL, "SELECT cluster_id, source_type AS source, count(*) AS n FROM r GROUP BY cluster_id, source_type"))
 def source_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records(spark, sf_dir)
@@ -553,4 +648,24 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every profile's explanation as text."""
     c, p, log = _merged(spark, sf_dir)
-    return report.candidate_text(report.candidates(confidence.score_profiles(p, log), c, _scores(spark, sf_dir)))
+    return report.candidate_text(report.candidates(confidence.score_profiles(p, log), c, _scores(spark, sf_dir, stars=True)))
+
+
+@query(
+    whole(
+        f"{RANKED_SQL}, firsts AS (SELECT key_type, key, min(seq) AS f FROM keys GROUP BY key_type, key), stars AS (SELECT DISTINCT f, seq FROM keys JOIN firsts USING (key_type, key) WHERE f < seq), m AS (SELECT cluster_id, count(*) AS n FROM stars JOIN clusters USING (seq) GROUP BY cluster_id)",
+        "SELECT r.cluster_id, count(*) > 1 AS merged, count(*) AS record_count, CAST(coalesce(any_value(m.n), 0) AS INT) AS n_matches FROM r LEFT JOIN m ON m.cluster_id = r.cluster_id GROUP BY r.cluster_id",
+    )
+)
+def report_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What explains each profile's merge: its records and their matches with the first of a block."""
+    c, p, _ = _merged(spark, sf_dir)
+    e = F.col("merge_explanation")
+    return report.candidates(p, c, _scores(spark, sf_dir, stars=True)).select("cluster_id", e["merged"].alias("merged"), e["record_count"].alias("record_count"), F.size(e["match_details"]).alias("n_matches"))
+
+
+@query(over("SELECT seq, coalesce(nullif(trim(lower(regexp_replace(coalesce(CASE WHEN seq % 11 > 0 THEN full_name END, 'r' || seq), '[^\\p{L}\\p{N}]', '_', 'g')), '_'), ''), 'r' || seq) AS stem FROM people"))
+def file_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names of people; every eleventh without a name."""
+    fallback = F.concat(F.lit("r"), F.col("seq").cast("string"))
+    return people(spark, sf_dir).select("seq", file_stem(F.when(F.col("seq") % 11 > 0, F.col("full_name")), fallback).alias("stem"))
