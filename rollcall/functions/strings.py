@@ -28,3 +28,10 @@ def title_case(x: Column) -> Column:
 def clean_list(xs: Column) -> Column:
     """Stripped elements without null and blank ones; empty for null."""
     return F.filter(F.transform(F.coalesce(xs, F.array().cast("array<string>")), strip), lambda x: x.isNotNull() & (x != ""))
+
+
+def format_bytes(n: Column) -> Column:
+    """A size as text: 0 Bytes, 1 KB, 1.5 MB; 1024 of a unit make the next, GB is the last. Null for null and negative sizes."""
+    unit = sum((n >= 1024**i).cast("int") for i in (1, 2, 3))
+    amount = F.regexp_replace(F.round(n / F.pow(F.lit(1024.0), unit), 1).cast("decimal(20,1)").cast("string"), r"\.0$", "")
+    return F.when(n == 0, "0 Bytes").when(n > 0, F.concat_ws(" ", amount, F.element_at(F.array(*map(F.lit, ["Bytes", "KB", "MB", "GB"])), unit + 1)))

@@ -17,7 +17,7 @@ from ..config import SKILL_METHODS, Config
 from ..functions.countries import normalize_country
 from ..functions.dates import normalize_date
 from ..functions.names import normalize_name
-from ..functions.phones import digits, normalize_phone
+from ..functions.phones import digits, normalize_phones
 from ..functions.skills import normalize_skill
 from ..functions.strings import blank_to_null, clean_list, strip, title_case
 from ..functions.tables import lookup, map_literal, read_taxonomy
@@ -94,7 +94,7 @@ def items(r: DataFrame, config: Config) -> DataFrame:
     none = F.lit(None).cast("string")
     cell = lambda field, key, pos, *values: F.struct(F.lit(field).alias("field"), key.alias("key"), pos.cast("int").alias("pos"), *((values[i] if i < len(values) else none).alias("abcde"[i]) for i in range(5)))
     plain = lambda field, xs: F.transform(xs, lambda x, i: cell(field, x, i, x))
-    phones = F.filter(F.transform(clean_list(F.col("phones")), lambda p: normalize_phone(p, config.default_phone_region)), lambda p: p.isNotNull())
+    phones = normalize_phones(F.col("phones"), config.default_phone_region)
     others = F.filter(F.transform(clean_list(F.col("links.other")), normalize_url), lambda u: u.isNotNull())
     skills = F.transform(F.transform(clean_list(F.col("skills")), lambda s: normalize_skill(s, taxonomy)), lambda s, i: cell("skills", F.lower(s), i, s))
     pair = lambda x, y: F.concat_ws("|", F.lower(F.coalesce(x, F.lit(""))), F.lower(F.coalesce(y, F.lit(""))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import STRONG, WEIGHTS, Config
 from ..functions.names import name_similarity
-from ..functions.phones import normalize_phone
+from ..functions.phones import normalize_phones
 from ..functions.strings import clean_list, strip
 from ..functions.urls import github_username, linkedin_username
 from .components import connected_components
@@ -22,7 +22,7 @@ def features(records: DataFrame, config: Config | None = None) -> DataFrame:
     return records.select(
         "seq", "record_id", "full_name",
         lower(F.col("emails")).alias("email"),
-        F.array_distinct(F.filter(F.transform(clean_list(F.col("phones")), lambda p: normalize_phone(p, config.default_phone_region)), lambda p: p.isNotNull())).alias("phone"),
+        F.array_distinct(normalize_phones(F.col("phones"), config.default_phone_region)).alias("phone"),
         F.lower(linkedin_username(F.col("links.linkedin"))).alias("linkedin"),
         F.lower(github_username(F.col("links.github"))).alias("github"),
         F.lower(F.coalesce(github_username(F.col("links.github")), strip(F.col("github_username")))).alias("github_any"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FIELD_WEIGHTS, SKILL_METHODS, Config
-from ..functions import countries, dates, names, phones, skills, text, urls
+from ..functions import countries, dates, names, phones, skills, strings, text, urls
 from ..functions.tables import country_aliases, months, nicknames, skill_aliases
 from ..operators import confidence, merge, projection, provenance, report, resolve
 from ..schema import RAW_EDUCATION, RAW_EXPERIENCE, RECORD, conform
@@ -172,6 +172,13 @@ def country_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people(spark, sf_dir).select("seq", countries.normalize_country(F.col("country"), spark=spark).alias("iso"))
 
 
+@query(r"""WITH b AS (SELECT doc_id, CAST(n_chars AS BIGINT) * n_chars * (doc_id % 7) AS n FROM documents),
+  u AS (SELECT doc_id, n, CASE WHEN n >= 1073741824 THEN 3 WHEN n >= 1048576 THEN 2 WHEN n >= 1024 THEN 1 ELSE 0 END AS i FROM b)
+  SELECT doc_id, CASE WHEN n = 0 THEN '0 Bytes' WHEN n > 0 THEN regexp_replace(CAST(CAST(round(n / pow(1024, i), 1) AS DECIMAL(20, 1)) AS VARCHAR), '\.0$', '') || ' ' || ['Bytes', 'KB', 'MB', 'GB'][i + 1] END AS size FROM u""")
+def byte_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", strings.format_bytes(F.col("n_chars").cast("long") * F.col("n_chars") * (F.col("doc_id") % 7)).alias("size"))
+
+
 @query(over(f"SELECT seq, {SKILL_SQL.format('skill')} AS skill, lower(skill) IN ({', '.join(map(quoted, skill_aliases()))}) AS known FROM people"))
 def skill_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("skill")

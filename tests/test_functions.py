@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rollcall.functions import countries, dates, education, names, phones, skills, strings, text, urls
+from rollcall.functions import countries, dates, education, names, phones, skills, strings, tables, text, urls
 
 CASES = {
     "name": (names.normalize_name, [
@@ -23,7 +23,7 @@ CASES = {
     ]),
     "country": (countries.normalize_country, [
         ("India", "IN"), ("IND", "IN"), ("Republic of India", "IN"), ("in", "IN"), ("UK", "GB"), ("USA", "US"), ("United States of America", "US"),
-        ("Deutschland", "DE"), ("Kenya", "KE"), ("KEN", "KE"), ("xyznotacountry", None), ("", None), (None, None),
+        ("Deutschland", "DE"), ("Kenya", "KE"), ("KEN", "KE"), ("xyznotacountry", None), ("Tanza", "TZ"), ("united", "AE"), ("korea, south", None), ("", None), ("  ", None), (None, None),
     ]),
     "skill": (skills.normalize_skill, [("JAVA", "Java"), ("Core Java", "Java"), ("k8s", "Kubernetes"), ("JDK", "JDK"), (" odd thing ", "odd thing"), ("", None), (None, None)]),
     "known skill": (skills.is_known_skill, [("core java", True), ("JDK", False), (None, False)]),
@@ -35,6 +35,10 @@ CASES = {
     "github": (urls.github_username, [("github.com/Ab/repo", "Ab"), ("https://github.com/login", None), ("https://github.com/Topics/x", None), (None, None)]),
     "class": (urls.classify_url, [("linkedin.com/in/x", "linkedin"), ("github.com/a", "github"), ("https://me.dev/x", "portfolio"), ("x.org", "other"), (None, None)]),
     "title": (strings.title_case, [("new-york", "New-York"), ("HYDERABAD", "Hyderabad"), ("o'brien", "O'Brien"), (None, None)]),
+    "bytes": (lambda x: strings.format_bytes(x.cast("long")), [
+        ("0", "0 Bytes"), ("1023", "1023 Bytes"), ("1024", "1 KB"), ("1536", "1.5 KB"), ("1048576", "1 MB"), ("1073741824", "1 GB"), ("5497558138880", "5120 GB"), ("-1", None), (None, None),
+    ]),
+    "phones": (lambda x: F.array_join(phones.normalize_phones(F.split(x, ",")), ","), [("9876543210, 12,+4412345678", "+919876543210,+4412345678"), ("", ""), (None, "")]),
     "html": (text.strip_html, [("<p>a&amp;b</p><script>x</script> <b>c</b>&#39;", "a b c"), ("<style>\np</style>x", "x"), ("", ""), (None, None)]),
     "years": (text.years_of_experience, [("5+ years of experience", 5.0), ("Experience: 7 yrs", 7.0), ("3 yrs in the industry", 3.0), ("none", None), (None, None)]),
     "name in text": (text.name_guess, [("RESUME\nKalluriNikhil a@b.co\nx", "Kalluri Nikhil"), ("one\ntwo three", "Two Three"), ("12 34", None), ("", None), (None, None)]),
@@ -81,3 +85,44 @@ def test_education(spark):
     assert (first.institution, first.degree, first.field_of_study, first.start_date, first.end_date) == ("ABC College of Engineering", "B.Tech", "Computer Science", "2018", "2022")
     assert (second.institution, second.degree, second.end_date) == ("XYZ School", "SSC", "2016")
     assert found[1].e == [] and found[2].e == []
+
+
+class Library:
+    """As much of the phonenumbers package as is used."""
+
+    class NumberParseException(Exception):
+        pass
+
+    class PhoneNumberFormat:
+        E164 = 0
+
+    def parse(self, phone, region):
+        if not any(c.isdigit() for c in phone):
+            raise self.NumberParseException
+        return ("" if region is None else "+91") + phone.replace(" ", "")
+
+    def is_possible_number(self, number):
+        return len(number) > 8
+
+    def format_number(self, number, form):
+        return number
+
+
+def test_phones_by_the_library():
+    assert [phones.parsed_e164(Library(), x, "IN") for x in ("+44 1234567", "98765 43210", "+12", "none")] == ["+441234567", "+919876543210", None, None]
+
+
+def test_phone_lists_by_the_library(spark, monkeypatch):
+    monkeypatch.setattr(phones, "has_library", lambda: True)
+    plan = spark.createDataFrame([(["9876543210"],)], "x array<string>").select(phones.normalize_phones(F.col("x")))._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan
+
+
+def test_taxonomy_of_the_working_folder(tmp_path, monkeypatch):
+    assert tables.read_taxonomy(None) is None
+    (tmp_path / "config").mkdir()
+    (tmp_path / "config" / "skill_taxonomy.json").write_text('{"skills": [{"canonical": "Zig", "aliases": ["ziglang"]}]}')
+    monkeypatch.chdir(tmp_path)
+    assert tables.read_taxonomy(None) == {"Zig": ["ziglang"]}
+    (tmp_path / "config" / "skill_taxonomy.json").write_text("broken")
+    assert tables.read_taxonomy(None) == {}
