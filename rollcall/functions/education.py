@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .strings import blank_to_null, squeeze, strip, title_case
+from .strings import blank_to_null, bound, squeeze, strip, title_case
 
 # Headings, words of table heads, of degrees and of institutions, and the signs of grades.
 HEADING = r"(?iU)\b(?:education|academic|academics|qualifications|scholastic)\b"
@@ -85,11 +85,6 @@ def entries(lines: Column) -> Column:
     return F.aggregate(lines, start, step, lambda s: F.when(s["open"] != "", F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
 
 
-def _with(x: Column, body) -> Column:
-    """``body`` of an expression that is evaluated once."""
-    return F.transform(F.array(x), body)[0]
-
-
 def parsed(entry: Column) -> Column:
     """struct(institution, degree, field_of_study, start_date, end_date) of one entry."""
     spaced = squeeze(rewritten(entry, SPACING))
@@ -101,7 +96,7 @@ def parsed(entry: Column) -> Column:
         end = F.when(ranged, F.concat(F.upper(F.substring(tail, 1, 1)), F.lower(F.substr(tail, F.lit(2))))).otherwise(blank_to_null(strip(F.regexp_extract(x, SINGLE, 1))))
         left = F.replace(x, F.when(ranged, F.regexp_extract(x, RANGE, 0)).otherwise(F.regexp_extract(x, SINGLE, 0)), F.lit(""))
         line = squeeze(rewritten(F.when(ranged | x.rlike(SINGLE), left).otherwise(x), GRADES))
-        return _with(F.struct(line.alias("line"), start.alias("start"), end.alias("end")), cut)
+        return bound(F.struct(line.alias("line"), start.alias("start"), end.alias("end")), cut)
 
     def cut(x: Column) -> Column:
         line = x["line"]
@@ -129,9 +124,9 @@ def parsed(entry: Column) -> Column:
             study = F.regexp_replace(F.regexp_replace(study, "^[() ]+|[() ]+$", ""), r"\.+$", "")
             return F.struct(p["institution"].alias("institution"), p["degree"].alias("degree"), F.when(study != "-", blank_to_null(study)).alias("field_of_study"), x["start"].alias("start_date"), x["end"].alias("end_date"))
 
-        return _with(parts, shaped)
+        return bound(parts, shaped)
 
-    return _with(spaced, dated)
+    return bound(spaced, dated)
 
 
 def education(text: Column) -> Column:

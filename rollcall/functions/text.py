@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .strings import blank_to_null, squeeze, strip, title_case
+from .strings import blank_to_null, bound, squeeze, strip, title_case
 
 # The patterns of what is looked for.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
@@ -51,11 +51,16 @@ def links(text: Column) -> Column:
     plain = F.filter(find_all(text, URL), lambda u: ~F.lower(u).rlike(r"linkedin\.com|github\.com"))
     bare = F.transform(F.transform(find_all(text, PLATFORM), trimmed_url), lambda u: F.when(u.startswith("http"), u).otherwise(F.concat(F.lit("https://"), u)))
     plain = F.transform(plain, trimmed_url)
-    urls = F.concat(plain, F.array_except(bare, plain))
     on_platform = lambda u: F.lower(u).rlike("|".join(map(re.escape, NO_PORTFOLIO)))
-    own = F.filter(urls, lambda u: ~on_platform(u))
-    other = F.concat(F.slice(own, F.lit(2), F.size(own)), F.filter(urls, on_platform))
-    return F.struct(F.get(find_all(text, LINKEDIN), 0).alias("linkedin"), F.get(find_all(text, GITHUB), 0).alias("github"), F.get(own, 0).alias("portfolio"), other.alias("other"))
+    urls = bound(plain, lambda p: F.concat(p, F.array_except(bare, p)))
+    split = bound(urls, lambda u: F.struct(F.filter(u, lambda x: ~on_platform(x)).alias("own"), F.filter(u, on_platform).alias("platform")))
+
+    def shaped(s: Column) -> Column:
+        own = s["own"]
+        other = F.concat(F.slice(own, F.lit(2), F.size(own)), s["platform"])
+        return F.struct(F.get(find_all(text, LINKEDIN), 0).alias("linkedin"), F.get(find_all(text, GITHUB), 0).alias("github"), F.get(own, 0).alias("portfolio"), other.alias("other"))
+
+    return bound(split, shaped)
 
 
 def name_guess(text: Column) -> Column:
