@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import CODE_SOURCE_SCORES, FIELD_WEIGHTS
 from ..functions.tables import lookup, map_literal
+from ..shared import tasks
 
 DECIMAL = "decimal(18,8)"
 
@@ -40,7 +41,9 @@ def overall(base: Column, covered: Column, sources: Column) -> Column:
 
 
 def score_profiles(profiles: DataFrame, provenance: DataFrame) -> DataFrame:
-    """``profiles`` with overall_confidence."""
+    """``profiles`` with overall_confidence; all are dealt to tasks by the number of profiles, which are counted."""
+    n = tasks(profiles)
+    profiles, provenance = profiles.repartition(n, "candidate_id"), provenance.repartition(n, "candidate_id")
     weights = map_literal({k: str(v) for k, v in FIELD_WEIGHTS.items()})
     base = field_confidences(provenance).groupBy("candidate_id").agg((F.sum(F.col("confidence") * lookup(weights, F.col("field")).cast(DECIMAL)) / sum(FIELD_WEIGHTS.values())).cast(DECIMAL).alias("base"))
     sources = provenance.groupBy("candidate_id").agg(F.count_distinct("source").alias("sources"))
@@ -61,8 +64,10 @@ def source_confidence(source: Column, scores: dict[str, float] | None = None) ->
 
 def breakdown(profiles: DataFrame, provenance: DataFrame) -> DataFrame:
     """(candidate_id, overall_confidence, field_confidences, coverage, source_contributions, total_provenance_records, formula)."""
-    per_field = field_confidences(provenance).groupBy("candidate_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", F.col("confidence").cast("double"))))).alias("f"))
-    per_source = provenance.groupBy("candidate_id", "source").count().groupBy("candidate_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "count")))).alias("source_contributions"), F.sum("count").alias("n"))
+    n = tasks(profiles)
+    profiles, provenance = profiles.repartition(n, "candidate_id"), provenance.repartition(n, "candidate_id")
+    per_field = field_confidences(provenance).groupBy("candidate_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", F.col("confidence").cast("double"))))).alias("f"))
+    per_source = provenance.groupBy("candidate_id", "source").count().groupBy("candidate_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "count")))).alias("source_contributions"), F.sum("count").alias("n"))
     all_fields = F.map_from_arrays(F.array(*map(F.lit, FIELD_WEIGHTS)), F.array(*(F.coalesce(F.try_element_at("f", F.lit(k)), F.lit(0.0)) for k in FIELD_WEIGHTS)))
     return profiles.join(per_field, "candidate_id", "left").join(per_source, "candidate_id", "left").select(
         "candidate_id", "overall_confidence", all_fields.alias("field_confidences"), F.round(coverage(profiles), 4).cast("double").alias("coverage"), "source_contributions",

@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import tasks
+
 STEP = re.compile(r"([A-Za-z_]\w*)(?:\[(\*|\d+)\])?$")
 ON_MISSING = ("null", "skip")
+#: A JSON text of printable characters without escapes.
+SIMPLE_TEXT = r'^"[^"\\\x00-\x1F]*"\z'
 
 
 def validate(config: dict[str, Any]) -> list[str]:
@@ -81,10 +85,13 @@ def project(profiles: DataFrame, config: dict[str, Any] | None = None, provenanc
     if config.get("include_confidence"):
         columns.append(F.struct(F.col("overall_confidence").alias("overall")).alias("_confidence"))
     if config.get("include_provenance") and provenance is not None:
+        n = tasks(profiles)
         row = F.struct("ord", "field", "value", "source", "source_path", "method", "confidence")
-        log = provenance.groupBy("candidate_id").agg(F.array_sort(F.collect_list(row)).alias("_p"))
-        profiles = profiles.join(log, "candidate_id", "left")
-        plain = lambda v: F.coalesce(F.try_variant_get(F.try_parse_json(v), "$", "string"), v)
+        log = provenance.repartition(n, "candidate_id").groupBy("candidate_id").agg(F.sort_array(F.collect_list(row)).alias("_p"))
+        profiles = profiles.repartition(n, "candidate_id").join(log, "candidate_id", "left")
+        parsed = lambda v: F.coalesce(F.try_variant_get(F.try_parse_json(v), "$", "string"), v)
+        # most values are texts without escapes, which need no parser
+        plain = lambda v: F.when(v.rlike(SIMPLE_TEXT), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(parsed(v))
         columns.append(
             F.transform(F.coalesce("_p", F.array()), lambda p: F.struct(p["field"].alias("field"), plain(p["value"]).alias("value"), p["source"].alias("source"), p["source_path"].alias("source_path"), p["method"].alias("method"), p["confidence"].alias("confidence"))).alias("_provenance")
         )
