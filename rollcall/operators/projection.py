@@ -86,15 +86,14 @@ def project(profiles: DataFrame, config: dict[str, Any] | None = None, provenanc
         columns.append(F.struct(F.col("overall_confidence").alias("overall")).alias("_confidence"))
     if config.get("include_provenance") and provenance is not None:
         n = tasks(profiles)
-        row = F.struct("ord", "field", "value", "source", "source_path", "method", "confidence")
-        log = provenance.repartition(n, "candidate_id").groupBy("candidate_id").agg(F.sort_array(F.collect_list(row)).alias("_p"))
-        profiles = profiles.repartition(n, "candidate_id").join(log, "candidate_id", "left")
         parsed = lambda v: F.coalesce(F.try_variant_get(F.try_parse_json(v), "$", "string"), v)
-        # most values are texts without escapes, which need no parser
-        plain = lambda v: F.when(v.rlike(SIMPLE_TEXT), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(parsed(v))
-        columns.append(
-            F.transform(F.coalesce("_p", F.array()), lambda p: F.struct(p["field"].alias("field"), plain(p["value"]).alias("value"), p["source"].alias("source"), p["source_path"].alias("source_path"), p["method"].alias("method"), p["confidence"].alias("confidence"))).alias("_provenance")
-        )
+        # most values are texts without escapes, which need no parser; each is read once, however many profiles share an id
+        plain = F.when(F.col("value").rlike(SIMPLE_TEXT), F.substr("value", F.lit(2), F.length("value") - 2)).otherwise(parsed(F.col("value")))
+        row = F.struct("ord", "field", "value", "source", "source_path", "method", "confidence", plain.alias("plain"))
+        shown = lambda p: F.struct(p["field"].alias("field"), p["plain"].alias("value"), p["source"].alias("source"), p["source_path"].alias("source_path"), p["method"].alias("method"), p["confidence"].alias("confidence"))
+        log = provenance.repartition(n, "candidate_id").groupBy("candidate_id").agg(F.transform(F.sort_array(F.collect_list(row)), shown).alias("_p"))
+        profiles = profiles.repartition(n, "candidate_id").join(log, "candidate_id", "left")
+        columns.append(F.coalesce("_p", F.array()).alias("_provenance"))
     return profiles.select(*columns)
 
 
