@@ -8,8 +8,10 @@ more than ``MAX_OPEN`` are open, and all at the end of a task, where at most one
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,51 @@ MAX_OPEN = 4096
 Piece = tuple[object, int, bytes, int]  # document id, start, ids, document's tokens
 
 
+class WordIds:
+    """The ids of whole texts by a word-end BPE file, as little-endian unsigned 32-bit integers.
+
+    An ASCII word is the only word of itself as a chunk, so chunks and ASCII words share one memo.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.vocabulary, self._tokenize, self._letters = word_vocabulary(path), Tokenizer.from_file(path).model.tokenize, byte_letters()
+        self.special = {s: struct.pack("<I", i) for s, i in self.vocabulary.special.items()}
+        self.of_chunk = BoundedCache(self._chunk)
+        self._other = BoundedCache(self._word)  # words that are not ASCII
+
+    def _word(self, word: str) -> bytes:
+        # visible ASCII letters stand for themselves
+        if not (word.isascii() and word.isprintable()):
+            word = "".join([self._letters[b] for b in word.encode()])
+        ids = [t.id for t in self._tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        words = self.vocabulary.words(chunk)
+        if len(words) == 1 and words[0] == chunk:
+            return self._word(chunk)
+        of_chunk, other = self.of_chunk, self._other
+        return b"".join([of_chunk[w] if w.isascii() else other[w] for w in words])
+
+    def __call__(self, text: str, tail: bytes = b"") -> bytes:
+        out: list[bytes] = []
+        for segment in self.vocabulary.segments(text):
+            if segment in self.special:
+                out.append(self.special[segment])
+            else:
+                out += map(self.of_chunk.__getitem__, self.vocabulary.chunks(segment))
+        out.append(tail)
+        return b"".join(out)
+
+
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """Kept for a worker's later tasks, whose texts hold the same words."""
+    return WordIds(path)
+
+
 class SumOfSquares:
     """Packs pieces of at most ``size`` ids; ``place`` and ``finish`` return the windows that are complete."""
 
@@ -110,25 +157,10 @@ def pack(df: DataFrame, tokenizer_path: str, *, end_id: int = 2, window: int = 4
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        vocabulary, tokenize = word_vocabulary(tokenizer_path), Tokenizer.from_file(tokenizer_path).model.tokenize
-        letters = byte_letters()
-        packed = BoundedCache(lambda w: np.array([t.id for t in tokenize("".join([letters[b] for b in w.encode()]))], "<u4").tobytes())
-        of_chunk = BoundedCache(lambda chunk: b"".join(map(packed.__getitem__, vocabulary.words(chunk))))
+        ids_of = word_ids(tokenizer_path)
         tail, packer = np.array([end_id], "<u4").tobytes(), SumOfSquares(window)
         number = TaskContext.get().partitionId() << 32
 
-        def ids_of(text: str) -> bytes:
-            out = []
-            for segment in vocabulary.segments(text):
-                if segment in vocabulary.special:
-                    out.append(np.array([vocabulary.special[segment]], "<u4").tobytes())
-                else:
-                    out += map(of_chunk.__getitem__, vocabulary.chunks(segment))
-            out.append(tail)
-            return b"".join(out)
-
         def rows(windows: list[list[Piece]]) -> pa.RecordBatch:
             nonlocal number
             out: list[list] = [[] for _ in range(8)]
@@ -151,7 +183,7 @@ def pack(df: DataFrame, tokenizer_path: str, *, end_id: int = 2, window: int = 4
             ids_type = batch.schema.field(0).type
             done: list[list[Piece]] = []
             for doc, text in zip(batch.column(0).to_pylist(), texts(batch, text_col), strict=True):
-                ids = ids_of(text)
+                ids = ids_of(text, tail)
                 total = len(ids) // 4
                 for at in range(0, len(ids), step):
                     piece = (doc, at // 4, ids[at : at + step], total)

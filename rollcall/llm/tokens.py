@@ -11,6 +11,8 @@ import regex
 
 # Unicode's White_Space characters, which the tokenizers' own regex engines take for \s.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+# The splitting rule under which a run of letters is one word.
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def vocabulary_path(name: str) -> str:
@@ -64,6 +66,7 @@ class WordVocabulary:
             spec = json.load(f)
         splits = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.findall = compiled(splits[0]["pattern"]["Regex"]).findall
+        self._letter_runs = splits[0]["pattern"]["Regex"] == LETTER_RUNS
         self._odd = regex.compile(f"[{SPACES}]+")
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
@@ -82,7 +85,10 @@ class WordVocabulary:
 
     def words(self, chunk: str) -> list[str]:
         """Normalised (NFC, lower case) words of a chunk."""
-        if not chunk.isascii():
+        if chunk.isascii():
+            if self._letter_runs and chunk.isalpha():
+                return [chunk.lower()]
+        else:
             # U+03A3 alone lower-cases by context in Python; the vocabulary's rule is per character
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
         return self.findall(chunk.lower())

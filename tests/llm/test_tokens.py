@@ -128,6 +128,21 @@ def test_packing(spark, documents, window):
     assert max(fills.values()) <= window and sum(f < window for f in fills.values()) <= 1
 
 
+def test_ids_of_texts_are_kept_for_later_tasks(documents):
+    assert packing.word_ids(WORDS) is packing.word_ids(WORDS)
+    texts = [t or "" for t in ODD + documents + fuzz(400, seed=3)] + ["İi\u0307 \u212a K", "ÅA\u030a Å", "don't 'T ''t", "\x00a\x7f \x1c", "<|endoftext|>x", "a" * 200 + " " + "B" * 200]
+    ids_of = packing.WordIds(WORDS)
+    for e, text in zip(Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False), texts, strict=True):
+        assert ids_of(text) == ids_of(text) == np.array(e.ids, "<u4").tobytes(), text
+    # a run of letters takes no search, and an ASCII word one entry of the memo
+    words = packing.WordIds(WORDS)
+    words.vocabulary.findall, findall = None, words.vocabulary.findall
+    try:
+        assert words("Every word is letters") and len(words.of_chunk) == 5
+    finally:
+        words.vocabulary.findall = findall
+
+
 def test_level_choice_minimises_the_sum_of_squares():
     rng = random.Random(2)
     for _ in range(300):
