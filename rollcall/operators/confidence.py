@@ -14,14 +14,41 @@ from ..shared import tasks
 DECIMAL = "decimal(18,8)"
 
 
+def root(field: Column) -> Column:
+    """What stands before the first dot of a row's path."""
+    return F.substring_index(field, ".", 1)
+
+
+def of_field(most: Column, sources: Column) -> Column:
+    """The highest of a field's rows, 0.05 more for each further source, at most 1."""
+    return F.round(F.least(most + F.lit("0.05").cast(DECIMAL) * (sources - 1), F.lit(1)), 4)
+
+
 def field_confidences(provenance: DataFrame) -> DataFrame:
-    """(candidate_id, field, confidence): the highest of a field's rows, 0.05 more for each further source, at most 1.
+    """(candidate_id, field, confidence) of each root field."""
+    field = root(F.col("field"))
+    per = provenance.where(field.isin(list(FIELD_WEIGHTS))).groupBy("candidate_id", field.alias("field")).agg(F.max("confidence").cast(DECIMAL).alias("most"), F.count_distinct("source").alias("n"))
+    return per.select("candidate_id", "field", of_field(F.col("most"), F.col("n")).alias("confidence"))
+
+
+def with_stated(profiles: DataFrame, provenance: DataFrame) -> DataFrame:
+    """``profiles`` with stated[field, source, most, n]: an entry for each root field and source of its id's rows; null without rows.
 
-    A field is what stands before the first dot of a row's path.
+    However many rows an id has, its entries are as few as its fields times its sources. All are dealt to tasks by the
+    number of profiles, which are counted, and rows once; only the entries are held for the join.
     """
-    root = F.substring_index("field", ".", 1)
-    per = provenance.where(root.isin(list(FIELD_WEIGHTS))).groupBy("candidate_id", root.alias("field")).agg(F.max("confidence").cast(DECIMAL).alias("most"), F.count_distinct("source").alias("n"))
-    return per.select("candidate_id", "field", F.round(F.least(F.col("most") + F.lit("0.05").cast(DECIMAL) * (F.col("n") - 1), F.lit(1)), 4).alias("confidence"))
+    n = tasks(profiles)
+    rows = provenance.select("candidate_id", root(F.col("field")).alias("field"), "source", "confidence").repartition(n, "candidate_id")
+    per = rows.groupBy("candidate_id", "field", "source").agg(F.max("confidence").cast(DECIMAL).alias("most"), F.count("*").alias("n"))
+    stated = per.groupBy("candidate_id").agg(F.collect_list(F.struct("field", "source", "most", "n")).alias("stated"))
+    return profiles.repartition(n, "candidate_id").join(stated.hint("shuffle_hash"), "candidate_id", "left")
+
+
+def stated_confidence(stated: Column, field: str) -> Column:
+    """Confidence of a root field by ``with_stated``'s list; null if no row names it."""
+    own = F.filter(stated, lambda x: x["field"] == field)
+    sources = F.size(F.filter(own, lambda x: x["source"].isNotNull())).cast("bigint")
+    return F.when(F.size(own) > 0, of_field(F.array_max(F.transform(own, lambda x: x["most"])), sources))
 
 
 def coverage(p: DataFrame) -> Column:
@@ -41,15 +68,14 @@ def overall(base: Column, covered: Column, sources: Column) -> Column:
 
 
 def score_profiles(profiles: DataFrame, provenance: DataFrame) -> DataFrame:
-    """``profiles`` with overall_confidence; all are dealt to tasks by the number of profiles, which are counted."""
-    n = tasks(profiles)
-    profiles, provenance = profiles.repartition(n, "candidate_id"), provenance.repartition(n, "candidate_id")
-    weights = map_literal({k: str(v) for k, v in FIELD_WEIGHTS.items()})
-    base = field_confidences(provenance).groupBy("candidate_id").agg((F.sum(F.col("confidence") * lookup(weights, F.col("field")).cast(DECIMAL)) / sum(FIELD_WEIGHTS.values())).cast(DECIMAL).alias("base"))
-    sources = provenance.groupBy("candidate_id").agg(F.count_distinct("source").alias("sources"))
-    scored = profiles.join(base, "candidate_id", "left").join(sources, "candidate_id", "left")
-    value = overall(F.coalesce("base", F.lit(0).cast(DECIMAL)), coverage(profiles), F.coalesce("sources", F.lit(0)))
-    return scored.withColumn("overall_confidence", F.round(value, 4).cast("double")).select(profiles.columns)
+    """``profiles`` with overall_confidence."""
+    both = with_stated(profiles, provenance)
+    stated = F.col("stated")
+    weighted = (F.coalesce((stated_confidence(stated, k) * F.lit(str(w)).cast(DECIMAL)).cast(DECIMAL), F.lit(0).cast(DECIMAL)) for k, w in FIELD_WEIGHTS.items())
+    base = (reduce(Column.__add__, weighted) / sum(FIELD_WEIGHTS.values())).cast(DECIMAL)
+    sources = F.size(F.array_distinct(F.filter(F.transform(stated, lambda x: x["source"]), lambda x: x.isNotNull())))
+    value = overall(base, coverage(both), F.when(stated.isNotNull(), sources).otherwise(0).cast("bigint"))
+    return both.withColumn("overall_confidence", F.round(value, 4).cast("double")).select(profiles.columns)
 
 
 def match_confidence(total: Column, most: Column) -> Column:
@@ -64,14 +90,15 @@ def source_confidence(source: Column, scores: dict[str, float] | None = None) ->
 
 def breakdown(profiles: DataFrame, provenance: DataFrame) -> DataFrame:
     """(candidate_id, overall_confidence, field_confidences, coverage, source_contributions, total_provenance_records, formula)."""
-    n = tasks(profiles)
-    profiles, provenance = profiles.repartition(n, "candidate_id"), provenance.repartition(n, "candidate_id")
-    per_field = field_confidences(provenance).groupBy("candidate_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", F.col("confidence").cast("double"))))).alias("f"))
-    per_source = provenance.groupBy("candidate_id", "source").count().groupBy("candidate_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "count")))).alias("source_contributions"), F.sum("count").alias("n"))
-    all_fields = F.map_from_arrays(F.array(*map(F.lit, FIELD_WEIGHTS)), F.array(*(F.coalesce(F.try_element_at("f", F.lit(k)), F.lit(0.0)) for k in FIELD_WEIGHTS)))
-    return profiles.join(per_field, "candidate_id", "left").join(per_source, "candidate_id", "left").select(
-        "candidate_id", "overall_confidence", all_fields.alias("field_confidences"), F.round(coverage(profiles), 4).cast("double").alias("coverage"), "source_contributions",
-        F.coalesce("n", F.lit(0)).alias("total_provenance_records"), F.lit("overall = weighted_avg(field_confidences) * coverage + multi_source_bonus (max 0.15)").alias("formula"),
+    both = with_stated(profiles, provenance)
+    stated = F.col("stated")
+    rows = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda n, x: n + x["n"])
+    all_fields = F.map_from_arrays(F.array(*map(F.lit, FIELD_WEIGHTS)), F.array(*(F.coalesce(stated_confidence(stated, k).cast("double"), F.lit(0.0)) for k in FIELD_WEIGHTS)))
+    names = F.sort_array(F.array_distinct(F.transform(stated, lambda x: x["source"])))
+    per_source = F.map_from_entries(F.transform(names, lambda s: F.struct(s, rows(F.filter(stated, lambda x: x["source"] == s)))))
+    return both.select(
+        "candidate_id", "overall_confidence", all_fields.alias("field_confidences"), F.round(coverage(both), 4).cast("double").alias("coverage"), per_source.alias("source_contributions"),
+        F.coalesce(rows(stated), F.lit(0)).alias("total_provenance_records"), F.lit("overall = weighted_avg(field_confidences) * coverage + multi_source_bonus (max 0.15)").alias("formula"),
     )
 
 

@@ -7,8 +7,9 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from rollcall.operators import merge, projection, resolve
+from rollcall.operators import confidence, merge, projection, resolve
 from rollcall.plans import queries
+from rollcall.schema import PROFILE, conform
 from rollcall.shared import LEAST_ROWS, TASK_ROWS, tasks
 
 ROWS = 3 * TASK_ROWS
@@ -52,3 +53,28 @@ def test_texts_of_provenance(spark):
     slow = {r.value: r.plain for r in log.select("value", F.coalesce(F.try_variant_get(F.try_parse_json("value"), "$", "string"), "value").alias("plain")).collect()}
     assert [r.value for r in rows] == [slow[v] for v in values]
     assert [r.value for r in rows[:3]] == [json.loads(v) for v in values[:3]]
+
+
+LOG = [
+    ("c", "full_name", "pdf", 0.95), ("c", "skills.Go", "pdf", 0.5), ("c", "skills.SQL", "github", 0.8), ("c", "skills.Go", "pdf", 0.7), ("c", "links.github", None, 0.95), ("c", "other", "csv", 0.4), ("c", "emails", "pdf", None), ("c", "emails", "csv", 0.95),
+    ("d", "phones", None, None),
+]
+
+
+def test_confidence_reads_provenance_once(spark):
+    log = spark.createDataFrame(LOG, "candidate_id string, field string, source string, confidence double")
+    rows = [("c", ["a@b"]), ("c", []), ("d", None), ("e", ["x@y"]), (None, [])]
+    profiles = conform(spark.createDataFrame(rows, "candidate_id string, emails array<string>"), PROFILE)
+    scored = confidence.score_profiles(profiles, log)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2 and "Expand" not in plan
+    fields = {(r.candidate_id, r.field): float(r.confidence) for r in confidence.field_confidences(log).collect()}
+    stated = confidence.with_stated(profiles, log).select("candidate_id", *(confidence.stated_confidence(F.col("stated"), k).alias(k) for k in confidence.FIELD_WEIGHTS)).distinct().collect()
+    assert {(r.candidate_id, k): float(r[k]) for r in stated for k in confidence.FIELD_WEIGHTS if r[k] is not None} == fields and len(fields) == 5
+    # base * coverage + bonus: (0.95*15 + 0.85*15 + 0.9*5 + 0.95*15) / 100 * 0.1 + 3 sources; d has a row that says nothing, e none
+    base = sum(v * confidence.FIELD_WEIGHTS[k] for (c, k), v in fields.items() if c == "c") / 100
+    assert sorted((str(r.candidate_id), r.overall_confidence) for r in scored.collect()) == sorted([("c", round(base * 0.1 + 0.15, 4)), ("c", 0.15), ("d", 0.0), ("e", 0.0), ("None", 0.0)])
+    bare = confidence.breakdown(profiles.where("candidate_id = 'e'"), log).first()
+    assert (bare.source_contributions, bare.total_provenance_records) == (None, 0)
+    named = confidence.breakdown(profiles.where("candidate_id = 'c'"), log.where("source is not null")).first()
+    assert (named.source_contributions, named.total_provenance_records, named.field_confidences["skills"]) == ({"csv": 2, "github": 1, "pdf": 4}, 7, fields["c", "skills"])
