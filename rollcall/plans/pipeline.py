@@ -32,11 +32,9 @@ def resolve_records(records: DataFrame, config: Config | None = None, output: di
     """A run over raw records."""
     config = config or Config()
     records = materialise(records)
-    clusters = materialise(resolve.cluster(records, config))
-    feats = materialise(resolve.features(records, config))
-    stars = resolve.every_pair_matches(config)
-    # where every blocked pair matches, a record's match with the first of its block explains it; all pairs would grow with the block's square
-    scores = resolve.score_pairs(resolve.block_pairs(resolve.block_keys(feats), stars=stars), feats, config, stars=stars)
+    feats, pairs = resolve.candidate_pairs(records, config)
+    clusters = materialise(resolve.cluster(records, config, candidates=(feats, pairs)))
+    scores = resolve.score_pairs(pairs, feats, config, stars=resolve.every_pair_matches(config))
     profiles, provenance = merge.merge(records, clusters, config)
     provenance = materialise(provenance)
     profiles = materialise(confidence.score_profiles(profiles, provenance))

@@ -78,3 +78,18 @@ def test_confidence_reads_provenance_once(spark):
     assert (bare.source_contributions, bare.total_provenance_records) == (None, 0)
     named = confidence.breakdown(profiles.where("candidate_id = 'c'"), log.where("source is not null")).first()
     assert (named.source_contributions, named.total_provenance_records, named.field_confidences["skills"]) == ({"csv": 2, "github": 1, "pdf": 4}, 7, fields["c", "skills"])
+
+
+def test_reports_find_features_and_pairs_once(spark, folder, monkeypatch):
+    r = queries.records(spark, folder).where("seq <= 300")
+    given = resolve.candidate_pairs(r)
+    plain = {(x.seq, x.cluster_id) for x in resolve.cluster(r).collect()}
+    by_pairs = queries.Config(merge_threshold=130)
+    scored = {(x.seq, x.cluster_id) for x in resolve.cluster(r, by_pairs).collect()}
+    assert {(x.seq, x.cluster_id) for x in resolve.cluster(r, by_pairs, candidates=resolve.candidate_pairs(r, by_pairs)).collect()} == scored != plain
+    calls = []
+    monkeypatch.setattr(queries, "records", lambda *_: r)
+    monkeypatch.setattr(resolve, "features", lambda *a, f=resolve.features: calls.append("features") or f(*a))
+    monkeypatch.setattr(resolve, "block_pairs", lambda *a, f=resolve.block_pairs, **k: calls.append("pairs") or f(*a, **k))
+    assert {(x.seq, x.cluster_id) for x in resolve.cluster(r, candidates=given).collect()} == plain and not calls
+    assert queries.report_candidates(spark, folder).count() == len({c for _, c in plain}) and calls == ["features", "pairs"]
