@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..shared import materialise, shared_dir
 
-__all__ = ["BoundedCache", "agreed_labels", "connected_components", "filtered", "hash_split", "materialise", "raw_texts", "shared_dir", "sliced", "texts"]
+__all__ = ["BoundedCache", "agreed_labels", "connected_components", "filtered", "hash_split", "kept", "materialise", "raw_texts", "shared_dir", "sliced", "texts", "tidied"]
 
 
 def hash_split(column: str, divisor: int):
@@ -59,9 +61,40 @@ class BoundedCache(dict):
         return value
 
 
-def sliced(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut to at most ``rows`` rows: bounds what Python holds at once."""
-    for batch in batches:
+_kept: dict[Hashable, object] = {}  # by this worker, of one kind of task
+
+
+def let_go(keeps: Hashable = None) -> None:
+    """Drop what this worker keeps, unless it is ``keeps``, and give freed memory back to the system."""
+    if _kept and keeps not in _kept:
+        _kept.clear()
+        gc.collect()  # memos hold their owner's methods
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
+def kept[T](key: Hashable, make: Callable[[], T]) -> T:
+    """``make()``, kept for this worker's later tasks of the same kind, until one of another kind comes.
+
+    A worker serves every stage of a run, and would else hold the sum of what all of them kept.
+    """
+    if key not in _kept:
+        let_go()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def tidied(batches: Iterable[pa.RecordBatch], keeps: Hashable = None) -> Iterator[pa.RecordBatch]:
+    """The batches of a task that uses of what its worker keeps only ``keeps``; before and after them, the rest is let go."""
+    let_go(keeps)
+    yield from batches
+    let_go(keeps)
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int, keeps: Hashable = None) -> Iterator[pa.RecordBatch]:
+    """The batches, ``tidied``, cut to at most ``rows`` rows: bounds what Python holds at once."""
+    for batch in tidied(batches, keeps):
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 

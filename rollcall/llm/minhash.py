@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, connected_components, materialise, raw_texts, sliced
+from .common import BoundedCache, connected_components, materialise, raw_texts, sliced, tidied
 
 BANDS, BAND_ROWS = 52, 8  # a pair of similarity 0.8 shares no band with a probability below 1e-4
 SAMPLES = 1024  # in the sketch; the first BANDS * BAND_ROWS of them make the band keys
@@ -48,7 +48,7 @@ class Shingler:
 
     def __init__(self, width: int):
         self.width = width
-        self.word = BoundedCache(xxhash.xxh3_64_intdigest)
+        self.word = BoundedCache(xxhash.xxh3_64_intdigest, limit=100_000)  # hashing a rare word again costs little
 
     def shingles(self, text: bytes) -> np.ndarray:
         """Words are runs of bytes other than ASCII white space, A-Z lower-cased. Fewer than ``width``: one shingle of all."""
@@ -159,7 +159,7 @@ def signatures(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
 
 def by_groups(rows: DataFrame, keys: list[str], order: list[str], each: Callable[[], Callable], schema: str) -> DataFrame:
     """Rows dealt by ``keys`` and streamed in ``order``; ``each()`` makes a task's function over its batches."""
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(lambda batches: each()(batches), schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(lambda batches: each()(tidied(batches)), schema)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:

@@ -11,15 +11,14 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import BoundedCache, sliced, texts
-from .tokens import byte_letters, word_vocabulary
+from .common import BoundedCache, kept, sliced, texts
+from .tokens import WordVocabulary, byte_letters
 
 #: Windows held open by a task, which bounds its memory; one more makes the fullest leave, filled from the emptiest.
 MAX_OPEN = 4096
@@ -36,7 +35,7 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.vocabulary, self._tokenize, self._letters = word_vocabulary(path), Tokenizer.from_file(path).model.tokenize, byte_letters()
+        self.vocabulary, self._tokenize, self._letters = WordVocabulary(path), Tokenizer.from_file(path).model.tokenize, byte_letters()
         self.special = {s: struct.pack("<I", i) for s, i in self.vocabulary.special.items()}
         self.of_chunk = BoundedCache(self._chunk)
         self._other = BoundedCache(self._word)  # words that are not ASCII
@@ -66,10 +65,9 @@ class WordIds:
         return b"".join(out)
 
 
-@lru_cache(1)
 def word_ids(path: str) -> WordIds:
     """Kept for a worker's later tasks, whose texts hold the same words."""
-    return WordIds(path)
+    return kept(("word_ids", path), lambda: WordIds(path))
 
 
 class SumOfSquares:
@@ -179,7 +177,7 @@ def pack(df: DataFrame, tokenizer_path: str, *, end_id: int = 2, window: int = 4
 
         ids_type = None
         step = 4 * window
-        for batch in sliced(batches, 128):
+        for batch in sliced(batches, 128, keeps=("word_ids", tokenizer_path)):
             ids_type = batch.schema.field(0).type
             done: list[list[Piece]] = []
             for doc, text in zip(batch.column(0).to_pylist(), texts(batch, text_col), strict=True):

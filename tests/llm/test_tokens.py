@@ -2,15 +2,17 @@
 
 import hashlib
 import random
+import weakref
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from rollcall.llm import bpe, packing, token_count
+from rollcall.llm import bpe, common, packing, token_count
 from rollcall.llm.tokens import read_ranks, vocabulary_path, word_vocabulary
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
@@ -143,6 +145,18 @@ def test_ids_of_texts_are_kept_for_later_tasks(documents):
         words.vocabulary.findall = findall
 
 
+def test_a_worker_keeps_words_of_one_kind_of_task():
+    rows = [pa.RecordBatch.from_pydict({"text": ["a b", "c"]})]
+    alive = weakref.ref(packing.word_ids(WORDS))
+    assert alive()("a b") and packing.word_ids(WORDS) is alive()
+    assert sum(b.num_rows for b in common.sliced(rows, 1, keeps=("word_ids", WORDS))) == 2 and alive()
+    for other in (lambda: list(common.sliced(rows, 1)), lambda: list(common.tidied(rows)), lambda: common.kept("other", list)):
+        alive = weakref.ref(packing.word_ids(WORDS))
+        assert alive()
+        other()
+        assert alive() is None
+
+
 def test_level_choice_minimises_the_sum_of_squares():
     rng = random.Random(2)
     for _ in range(300):
