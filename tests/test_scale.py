@@ -40,6 +40,22 @@ def test_merging_is_dealt_by_records(spark, folder):
     assert merge.prepared(r, clusters, queries.Config()).rdd.getNumPartitions() >= 3
 
 
+def test_tables_of_merging_are_files_by_records(spark, folder, monkeypatch):
+    """Spark packs files into tasks by bytes, so that a file's records bound those of a task that reads a written table."""
+    files = []
+
+    def counted(df, f=merge.materialise):
+        written = f(df)
+        files.append(len(written.inputFiles()))
+        return written
+
+    monkeypatch.setattr(merge, "materialise", counted)
+    r = queries.records(spark, folder).coalesce(1)
+    clusters = spark.range(1, ROWS + 1, 1, 1).select(F.col("id").alias("seq"), F.col("id").alias("cluster_id"))
+    p, _ = merge.merge(r, clusters)
+    assert p.count() == ROWS and len(files) == 4 and min(files) >= 3
+
+
 def test_keys_are_evaluated_once(spark, folder):
     feats = resolve.features(queries.records(spark, folder))
     plan = resolve.block_keys(feats)._jdf.queryExecution().optimizedPlan().toString()
